@@ -1,2 +1,34 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the core operators: name -> (spark, folder) -> DataFrame, and their SQL for the oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import keys as K
+from ledgerloom.operators.orphans import orphan_references, orphan_report
+from ledgerloom.sources.tables import load
+
+#: One row of totals is joined to each row of a report: the only cross joins here.
+
+
+def _readiness_orphans(spark: SparkSession, d: str) -> DataFrame:
+    r = load(spark, d, "r01_readiness").select(F.col("readiness_id").alias("ref_id"), "pair_id", "local_catalog_key", F.col("checked_at").alias("at"))
+    fallback = lambda c: F.coalesce(K.pair_key(F.col(c)), K.case_key(F.col(c)))
+    refs = r.select("ref_id", F.lit("pair_id").alias("ref_column"), fallback("pair_id").alias("key"), "at").union(r.select("ref_id", F.lit("local_catalog_key"), K.case_key(F.col("local_catalog_key")), "at"))
+    c, k = load(spark, d, "r01_candidates"), load(spark, d, "case_catalog")
+    parents = c.select(F.lit("pair_id").alias("ref_column"), fallback("pair_id").alias("key"), F.col("loaded_at").alias("begins"), F.col("removed_at").alias("ends"))
+    parents = parents.union(k.select(F.lit("local_catalog_key"), K.case_key(F.col("case_id")), "added_at", "removed_at"))
+    return orphan_references(refs, parents)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _readiness_orphans(spark, d).select(F.col("ref_id").alias("readiness_id"), "ref_column", "reason")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return orphan_report(_readiness_orphans(spark, d), "r01_readiness")
+
+
+QUERIES = {q.__name__: q for q in (p5_found, p5_report)}
+ORACLE: dict[str, str] = {}
