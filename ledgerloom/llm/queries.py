@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.grouped_split import broken_groups, deal, linked_groups
 from ledgerloom.llm.history import batch_duplicates
 from ledgerloom.llm.overlap import cross_split_pairs, overlap_report
 from ledgerloom.sources.tables import load
@@ -24,5 +25,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return batch_duplicates(load(spark, d, "r01_candidates"), load(spark, d, "registry_loads")).select(F.col("id").alias("record_id"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_groups(*linked_groups(load(spark, d, "r01_candidates"))).select(F.col("id").alias("record_id"))
+
+
+def p4_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its group's new split."""
+    rows, nodes = linked_groups(load(spark, d, "r01_candidates"))
+    return rows.join(deal(nodes), "node").select(F.col("id").alias("record_id"), F.col("root").alias("group_id"), F.col("dealt").alias("split"))
+
+
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and groups per new split, with the share reached."""
+    _, nodes = linked_groups(load(spark, d, "r01_candidates"))
+    out = nodes.join(deal(nodes), ["node", "root"]).groupBy(F.col("dealt").alias("split")).agg(F.sum("rows").alias("n_rows"), F.count_distinct("root").alias("n_groups"))
+    total = out.agg(F.sum("n_rows").alias("total"))
+    return out.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.round(F.col("n_rows") / F.col("total"), 6).alias("share"))  # one row of totals
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance)}
 ORACLE: dict[str, str] = {}
