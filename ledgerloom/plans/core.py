@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
+from ledgerloom.operators.drift import schema_changes, unified_table
 from ledgerloom.operators.orphans import orphan_references, orphan_report
+from ledgerloom.operators.profile import base_profile, quality_issues
 from ledgerloom.sources.tables import load
 
 #: One row of totals is joined to each row of a report: the only cross joins here.
@@ -30,5 +32,50 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_readiness_orphans(spark, d), "r01_readiness")
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_report)}
+#: The forms of the columns with known trouble.
+_NAME = r"[A-Za-z0-9._+\-]+"
+BLOCKERS = ("frozen_revision_not_locatable", "license_unclear", "citation_range_missing", "obligation_basis_generic_or_missing", "logic_not_confirmed")
+CANDIDATE_FORMS = {
+    "blocker": (";", "(?=;.)" + "".join(f"(?:;{b})?" for b in BLOCKERS)),
+    "license_note": ("", f"artifact_license:{_NAME}(?:;spdx_guess:{_NAME})?"),
+    "dataset_revision": ("", "sha256:[0-9a-f]{64}"),
+}
+READINESS_FORMS = {"ready": ("", "yes|no")}
+
+
+def _quality_tables(spark: SparkSession, d: str) -> dict:
+    return {
+        "r01_candidates": (load(spark, d, "r01_candidates"), "record_id", "load_id", CANDIDATE_FORMS),
+        "r01_readiness": (load(spark, d, "r01_readiness"), "readiness_id", "load_id", READINESS_FORMS),
+    }
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality_issues(_quality_tables(spark, d), load(spark, d, "registry_loads"))
+
+
+def p2_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Base aggregates of every column of both tables."""
+    parts = [base_profile(df, name, df.columns, forms, i, l) for name, (df, i, l, forms) in _quality_tables(spark, d).items()]
+    return parts[0].union(parts[1])
+
+
+def _streams(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda t, s: load(spark, d, t).select(F.lit(s).alias("stream"), "raw_id", "file_name", "line_no", "body")
+    return part("enrichment_raw", "enrichment").union(part("push_receipt_raw", "push_receipt"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_changes(_streams(spark, d))
+
+
+def p6_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    return unified_table(_streams(spark, d), "enrichment")
+
+
+def p6_push_receipt(spark: SparkSession, d: str) -> DataFrame:
+    return unified_table(_streams(spark, d), "push_receipt")
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
 ORACLE: dict[str, str] = {}
