@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.grouped_split import broken_groups, deal, linked_groups
 from ledgerloom.llm.history import batch_duplicates
+from ledgerloom.llm.mixing import draw_mix
 from ledgerloom.llm.overlap import cross_split_pairs, overlap_report
+from ledgerloom.llm.tokens import encoded, round_trip, token_counts
 from ledgerloom.sources.tables import load
 
 
@@ -43,5 +45,27 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.round(F.col("n_rows") / F.col("total"), 6).alias("share"))  # one row of totals
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoded(load(spark, d, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its tokens, and whether decoding gives the text again."""
+    return round_trip(load(spark, d, "documents"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, d, "documents")
+    return draw_mix(token_counts(docs, "source"), load(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance, p7_ids, p7_round_trip, p8_mix, p8_shares)}
 ORACLE: dict[str, str] = {}
