@@ -9,6 +9,7 @@ from ledgerloom.llm.grouped_split import broken_groups, deal, linked_groups
 from ledgerloom.llm.history import batch_duplicates
 from ledgerloom.llm.mixing import draw_mix
 from ledgerloom.llm.overlap import cross_split_pairs, overlap_report
+from ledgerloom.llm.subjects import document_subjects, subject_composition
 from ledgerloom.llm.tokens import encoded, round_trip, token_counts
 from ledgerloom.sources.tables import load
 
@@ -67,5 +68,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance, p7_ids, p7_round_trip, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(load(spark, d, "documents"), load(spark, d, "subjects"), load(spark, d, "subject_labels"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subject_composition(load(spark, d, "documents"), p9_found(spark, d))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_composition)}
 ORACLE: dict[str, str] = {}
