@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -50,6 +51,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """As ``save``, with the number of rows, counted while they are written."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name)), seen.get["n"]
+
     def append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(self.path(name))
 
