@@ -47,13 +47,6 @@ def band_keys() -> Column:
     return F.array_compact(F.array(_key(0, b8, f8), _key(1, F.col("a"), b8), _key(2, F.col("a"), f8)))
 
 
-def _segments(n: Column, i: int) -> tuple[Column, Column]:
-    """0-based start and length of segment i of a string of length n, cut evenly."""
-    base, rest = F.floor(n / (EDITS + 1)).cast("int"), (n % (EDITS + 1)).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(EDITS + 1) - rest))
-    return F.lit(i) * base + longer, base + F.when(F.lit(i) >= F.lit(EDITS + 1) - rest, 1).otherwise(0)
-
-
 def _windows() -> list[tuple[int, int, int]]:
     """(length difference, segment, shift) of the substrings that must be tried."""
     out = []
@@ -64,38 +57,42 @@ def _windows() -> list[tuple[int, int, int]]:
     return out
 
 
-def _sides():
-    for s, (same, other) in enumerate((("b", "f"), ("f", "b"))):
-        yield s, F.left(same, F.lit(PREFIX)), F.col(other)
+def _segment_keys(rows: DataFrame, places: list[tuple[int, int, int]], *keep: str) -> DataFrame:
+    """(k, keep) of the segments or substrings at ``places`` of each row's revision in full, for either revision
+    as the mistyped one: its key holds the anchor, the other revision, the cut string's length and the segment."""
+    at = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for s, _, _ in SIDES for d, i, t in places)))
+    first, of = F.col("x.s") == 0, lambda c, e: F.when(first, F.col(c)).otherwise(F.col(e))
+    x = rows.filter("a IS NOT NULL AND b IS NOT NULL AND f IS NOT NULL").withColumn("x", at)
+    x = x.select(*keep, F.xxhash64(F.col("x.s"), "a", F.left(of("b", "f"), F.lit(PREFIX))).alias("base"), of("f", "b").alias("r"), "x").filter(F.length("r") >= FULL)
+    x = x.select(*keep, "base", "r", (F.length("r") - F.col("x.d")).alias("n"), F.col("x.i").alias("i"), F.col("x.t").alias("t"))
+    longer = F.lit(EDITS + 1) - F.col("n") % (EDITS + 1)  # segments from this one on are a character longer
+    base = F.floor(F.col("n") / (EDITS + 1)).cast("int")
+    x = x.select("*", (F.col("i") * base + F.greatest(F.lit(0), F.col("i") - longer) + F.col("t")).alias("start"), (base + (F.col("i") >= longer).cast("int")).alias("size"))
+    x = x.filter((F.col("n") >= FULL) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.length("r")))
+    return x.select(F.xxhash64(F.lit(40), "base", "n", "i", F.substring("r", F.col("start") + 1, F.col("size"))).alias("k"), *keep)
 
 
-def cut_keys() -> Column:
-    """Keys of a row on the side that is cut into segments."""
-    out = [_key(10, F.left("b", F.lit(PREFIX)), F.left("f", F.lit(PREFIX)))]
-    for s, same, other in _sides():
-        out.append(F.when(other.isNull(), _key(20 + s, F.col("a"), same)))
-        out.append(F.when(other.isNotNull(), _key(30 + s, F.col("a"), same)))
-        n = F.length(other)
-        for i in range(EDITS + 1):
-            start, size = _segments(n, i)
-            out.append(F.when(n >= FULL, _key(40 + s, F.col("a"), same, n, F.lit(i), F.substring(other, start + 1, size))))
-    return F.array_compact(F.array(*out))
+SIDES = ((0, "b", "f"), (1, "f", "b"))
 
 
-def window_keys() -> Column:
-    """Keys of a row on the side whose substrings are matched at the allowed positions."""
+def _plain_keys(rows: DataFrame, absent: int, present: int | None, *keep: str) -> DataFrame:
+    """(k, keep) for agreement of both revisions, and of one where the other is absent on this side or the other."""
     out = [_key(10, F.left("b", F.lit(PREFIX)), F.left("f", F.lit(PREFIX)))]
-    for s, same, other in _sides():
-        out.append(_key(20 + s, F.col("a"), same))
-        out.append(F.when(other.isNull(), _key(30 + s, F.col("a"), same)))
-        m = F.length(other)
-        for d, i, shift in _windows():
-            n = m - d
-            start, size = _segments(n, i)
-            at = start + shift
-            ok = (m >= FULL) & (n >= FULL) & (at >= 0) & (at + size <= m)
-            out.append(F.when(ok, _key(40 + s, F.col("a"), same, n, F.lit(i), F.substring(other, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    for s, same, other in SIDES:
+        g = F.left(same, F.lit(PREFIX))
+        out.append(F.when(F.col(other).isNull(), _key(absent + s, F.col("a"), g)))
+        out.append(_key(present + s, F.col("a"), g) if absent > present else F.when(F.col(other).isNotNull(), _key(present + s, F.col("a"), g)))
+    return rows.select(F.explode(F.array_compact(F.array(*out))).alias("k"), *keep)
+
+
+def cut_keys(rows: DataFrame, *keep: str) -> DataFrame:
+    """Keys of the side that is cut into segments."""
+    return _plain_keys(rows, 20, 30, *keep).union(_segment_keys(rows, [(0, i, 0) for i in range(EDITS + 1)], *keep))
+
+
+def window_keys(rows: DataFrame, *keep: str) -> DataFrame:
+    """Keys of the side whose substrings are matched at the allowed positions."""
+    return _plain_keys(rows, 30, 20, *keep).union(_segment_keys(rows, _windows(), *keep))
 
 
 def verified_pairs(cut: DataFrame, windowed: DataFrame, also: Column | None = None) -> DataFrame:
@@ -104,8 +101,8 @@ def verified_pairs(cut: DataFrame, windowed: DataFrame, also: Column | None = No
     ``cut`` has (id, a, b, f), ``windowed`` the same and ``mark``; ``also`` is a further condition on the
     columns of ``c`` and ``w``. A pair is only made for an equal key; AQE splits hot keys.
     """
-    c = cut.select(F.explode(cut_keys()).alias("k"), F.struct("id", "a", "b", "f").alias("c"))
-    w = windowed.select(F.explode(window_keys()).alias("k"), F.struct("id", "a", "b", "f", "mark").alias("w"))
+    c = cut_keys(cut.withColumn("c", F.struct("id", "a", "b", "f")), "c")
+    w = window_keys(windowed.withColumn("w", F.struct("id", "a", "b", "f", "mark")), "w")
     col = F.col
     cond = K.same_change(col("c.a"), col("c.b"), col("c.f"), col("w.a"), col("w.b"), col("w.f"))
     if also is not None:

@@ -64,31 +64,32 @@ class BatchDeduplicator:
         whole = F.concat_ws("|", *(F.coalesce(c, F.lit("~")) for c in ("a", "b", "f")))
         suspects = save(batch.join(ids, "id", "left_semi").withColumn("whole", whole), "suspects")
         # copies of a row that can match state its change: the first stands for all
-        first = suspects.groupBy("whole").agg(F.min_by(F.struct("id", "a", "b", "f"), "id").alias("r"))
-        copies = suspects.join(first.select("whole", F.col("r.id").alias("first")), "whole").filter("id > first").select("id")
-        own = first.select("r.*")
-        other = own.withColumn("mark", F.lit(False))
+        first = suspects.groupBy("whole").agg(F.min("id").alias("id")).select("id")
+        pool = suspects.drop("whole").join(first, "id", "left_semi").withColumn("mark", F.lit(False))
         if old is not None:
-            other = other.unionByName(old.select("id", "a", "b", "f").distinct().withColumn("mark", F.lit(True)))
-        links = C.verified_pairs(own, other, F.col("w.mark") | (F.col("w.id") < F.col("c.id")))
+            pool = pool.unionByName(old.select("id", "a", "b", "f").distinct().withColumn("mark", F.lit(True)))
+        pool = save(pool, "pool")
+        own = pool.filter("NOT mark").drop("mark")
+        links = C.verified_pairs(own, pool, F.col("w.mark") | (F.col("w.id") < F.col("c.id")))
         links = save(links.select(F.col("windowed_id").alias("earlier"), F.col("cut_id").alias("later"), "mark"), "links")
-        cases = save(copies.union(links.filter("mark").select("later")).distinct(), "cases-0")
-        cases = self._rounds(links.filter("NOT mark").select("earlier", "later"), cases)
+        copies = suspects.select("id").join(own.select("id"), "id", "left_anti")
+        repeated = links.filter("mark").select(F.col("later").alias("id")).distinct()
+        cases = save(self._rounds(links.filter("NOT mark").select("earlier", "later"), repeated).union(copies), "cases")
         self.index.append(batch.join(cases, "id", "left_anti"))
-        self.scratch.drop(f"old-{self.n}", f"suspects-{self.n}", f"links-{self.n}")
+        self.scratch.drop(*(f"{x}-{self.n}" for x in ("old", "suspects", "pool", "links")))
         return cases
 
     def _rounds(self, links: DataFrame, cases: DataFrame) -> DataFrame:
         """Rows with no live earlier link are accepted, their later links are cases; until no link is live."""
-        k = 0
         live = lambda e, dead: e.join(dead.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(dead.withColumnRenamed("id", "later"), "later", "left_anti")
-        links = self.scratch.save(live(links, cases), f"live-{self.n}-{k}")
-        while not links.isEmpty():
+        links, n = self.scratch.save_counted(live(links, cases), f"live-{self.n}-0")
+        k = 0
+        while n:
             k += 1
             accepted = links.select("earlier").distinct().join(links.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
             dead = self.scratch.save(links.join(accepted, "earlier", "left_semi").select(F.col("later").alias("id")).distinct(), f"dead-{self.n}-{k}")
             cases = cases.union(dead)
-            links = self.scratch.save(live(links, dead), f"live-{self.n}-{k}")
+            links, n = self.scratch.save_counted(live(links, dead), f"live-{self.n}-{k}")
         return cases
 
 
