@@ -1,0 +1,76 @@
+"""Unified diffs as tables of files and hunks."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+SCHEMA = "id bigint, file_no int, old_path string, new_path string, binary boolean, hunk_no int, old_start int, old_count int, new_start int, new_count int, added int, removed int, consistent boolean"
+
+
+def path_of(text: str) -> str | None:
+    """Path of a header line: without the a/ or b/ prefix and quotes, escapes resolved; /dev/null: none."""
+    text = text.split("\t")[0].rstrip()
+    if text.startswith('"') and text.endswith('"') and len(text) > 1:
+        raw = re.sub(rb"\\([0-7]{3}|.)", lambda m: bytes([int(m[1], 8)]) if len(m[1]) == 3 else {b"n": b"\n", b"t": b"\t"}.get(m[1], m[1]), text[1:-1].encode())
+        text = raw.decode("utf-8", "replace")
+    return None if text == "/dev/null" else re.sub(r"^[ab]/", "", text)
+
+
+def hunks(text: str | None) -> list[tuple]:
+    """(file_no, old, new, binary, hunk_no, starts and counts, lines added, removed, counts agree) of a diff.
+
+    A file without hunks (binary, rename) is one row with null hunk columns.
+    """
+    out: list[list] = []
+    files, here, left = 0, None, None
+    for line in (text or "").split("\n"):
+        if left and (left[0] > 0 or left[1] > 0) and line[:1] in ("+", "-", " ", "\\", ""):
+            row = out[-1]
+            if line[:1] == "+":
+                row[9], left[1] = row[9] + 1, left[1] - 1
+            elif line[:1] == "-":
+                row[10], left[0] = row[10] + 1, left[0] - 1
+            elif line[:1] != "\\":
+                left[0], left[1] = left[0] - 1, left[1] - 1
+            row[11] = left == [0, 0]
+        elif line.startswith("diff --git ") or (line.startswith("--- ") and not (here and here["fresh"])):
+            files, here, left = files + 1, {"old": None, "new": None, "fresh": line.startswith("diff"), "n": 0}, None
+            out.append([files, None, None, False, None, None, None, None, None, 0, 0, True])
+            if line.startswith("--- "):
+                here["old"] = out[-1][1] = path_of(line[4:])
+        elif here is None:
+            continue
+        elif line.startswith(("--- ", "rename from ")):
+            here["old"] = out[-1][1] = path_of(line.removeprefix("--- ").removeprefix("rename from "))
+        elif line.startswith(("+++ ", "rename to ")):
+            here["new"], here["fresh"] = path_of(line.removeprefix("+++ ").removeprefix("rename to ")), False
+            out[-1][2] = here["new"]
+        elif line.startswith(("Binary files ", "GIT binary patch")):
+            out[-1][3] = True
+        elif m := _HUNK.match(line):
+            here["n"] += 1
+            old, new = int(m[2] or 1), int(m[4] or 1)
+            row = [files, here["old"], here["new"], False, here["n"], int(m[1]), old, int(m[3]), new, 0, 0, (old, new) == (0, 0)]
+            if here["n"] == 1:
+                out[-1] = row
+            else:
+                out.append(row)
+            left = [old, new]
+    return [tuple(r) for r in out]
+
+
+def parse_patches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per hunk of each diff; texts without file headers, and nulls, give none."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for part in it:
+            rows = [(i, *h) for i, t in zip(part.iloc[:, 0], part.iloc[:, 1]) for h in hunks(t)]
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names if c.endswith(("_no", "start", "count", "added", "removed"))})
+
+    return df.select(id_col, text_col).mapInPandas(run, SCHEMA)
