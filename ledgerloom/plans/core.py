@@ -9,6 +9,7 @@ from ledgerloom.functions import keys as K
 from ledgerloom.operators.drift import schema_changes, unified_table
 from ledgerloom.operators.orphans import orphan_references, orphan_report
 from ledgerloom.operators.profile import base_profile, quality_issues
+from ledgerloom.plans import reference
 from ledgerloom.sources.tables import load
 
 #: One row of totals is joined to each row of a report: the only cross joins here.
@@ -77,5 +78,19 @@ def p6_push_receipt(spark: SparkSession, d: str) -> DataFrame:
     return unified_table(_streams(spark, d), "push_receipt")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
-ORACLE: dict[str, str] = {}
+def _profile_sql(table: str, columns: list[str], bad: dict[str, str]) -> str:
+    """Base aggregates in plain SQL, one column after another."""
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, min({v}) AS least, max({v}) AS greatest, {b} AS n_malformed, round((count(*) - count({c})) / count(*), 6) AS null_rate FROM {t}"
+    return " UNION ALL ".join(one.format(t=table, c=c, v=f"{c}::VARCHAR", b=f"count(*) FILTER ({bad[c]})" if c in bad else "0") for c in columns)
+
+
+_READINESS = ["pair_id", "category_claim", "versions_locatable", "license_clear", "citation_range_exists", "actor_view_generated", "ready", "blocker", "split", "cited_path", "local_catalog_key", "load_id"]
+
+
+def readiness_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Base aggregates of the readiness table's text columns."""
+    return base_profile(load(spark, d, "r01_readiness"), "r01_readiness", _READINESS, READINESS_FORMS, "readiness_id", "load_id")
+
+
+QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, readiness_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
+ORACLE = reference.ORACLE | {"readiness_profile": _profile_sql("r01_readiness", _READINESS, {"ready": "ready NOT IN ('yes', 'no')"})}
