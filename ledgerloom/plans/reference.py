@@ -483,12 +483,14 @@ def retry_terminal_reason(spark, d):
 # ---- leakage
 
 
-@query("WITH h AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-f]{40}')) AS c FROM documents), s AS (SELECT repository.vulnerable_commit AS c FROM case_catalog UNION SELECT repository.fixed_commit FROM case_catalog) SELECT DISTINCT doc_id, sha256(h.c) AS secret_sha FROM h JOIN s ON h.c = s.c")
+@query("WITH h AS (SELECT doc_id, left(unnest(regexp_extract_all(lower(text), '[0-9a-f]{9,40}')), 9) AS c FROM documents), s AS (SELECT left(lower(repository.vulnerable_commit), 9) AS c FROM case_catalog UNION SELECT left(lower(buggy_revision), 9) FROM r01_candidates) SELECT DISTINCT doc_id, sha256(h.c) AS secret_sha FROM h JOIN s ON h.c = s.c")
 def leakage_commits(spark, d):
-    """Protected commits written out in texts: what looks like one is cut out and equi-joined, no text meets all secrets."""
-    k = load(spark, d, "case_catalog")
-    secrets = k.select(F.explode(F.array("repository.vulnerable_commit", "repository.fixed_commit")).alias("c")).distinct()
-    hits = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([0-9a-f]{40})"), F.lit(1))).alias("c"))
+    """Protected commits written in texts, also abbreviated to 9 characters: what looks like one is cut out and
+    equi-joined, so no text meets all secrets."""
+    short = lambda c: F.left(F.lower(COL(c)), F.lit(9)).alias("c")
+    secrets = load(spark, d, "case_catalog").select(short("repository.vulnerable_commit")).union(load(spark, d, "r01_candidates").select(short("buggy_revision"))).distinct()
+    hits = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([0-9a-f]{9,40})"), F.lit(1))).alias("c"))
+    hits = hits.select("doc_id", F.left("c", F.lit(9)).alias("c"))
     return hits.join(secrets, "c", "left_semi").select("doc_id", F.sha2("c", 256).alias("secret_sha")).distinct()
 
 
