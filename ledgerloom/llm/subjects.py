@@ -8,6 +8,7 @@ The chain predicts each subject from term, source and structure features and fro
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -95,11 +96,17 @@ class Lexicon:
 
     def __init__(self, n: int, table: dict[str, np.ndarray], often: dict[str, int]):
         self.n, self.table, self.often = n, table, often
+        self.known: dict[str, int] = {}
 
     def subject(self, sentence: str) -> int:
-        """Index of the subject that the sentence is about; -1: none."""
-        found = [self.table[t] for t in terms(sentence, self.often) if t in self.table]
-        return _subject(np.sum(found, axis=0), 0.5) if found else -1
+        """Index of the subject that the sentence is about; -1: none. Sentences met before are remembered, to a bound."""
+        i = self.known.get(sentence)
+        if i is None:
+            found = [self.table[t] for t in terms(sentence, self.often) if t in self.table]
+            if len(self.known) > 100_000:
+                self.known.clear()
+            i = self.known[sentence] = _subject(np.sum(found, axis=0), 0.5) if found else -1
+        return i
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -268,18 +275,18 @@ class Chain:
         return self
 
     def decode(self, by: np.ndarray, common: np.ndarray) -> list[int]:
-        """Most probable combination of labels, by beam search along the chain."""
-        if not by.any():
-            return []
-        beam = [(0.0, ())]
-        for i in range(self.n):
+        """Most probable combination of labels, by beam search along the chain; no sentence, no label."""
+        beam = [(0.0, np.zeros(self.n))]
+        for i in np.flatnonzero(by):
             grown = []
             for score, labels in beam:
-                x = _design(by, common, i, np.r_[np.array(labels, float), np.zeros(self.n - i)])
-                z = float(np.clip(self.scale[0] * (x @ self.weights[i]) + self.scale[1], -30, 30))
-                grown += [(score - np.log1p(np.exp(-z)), (*labels, 1))] * int(by[i] > 0) + [(score - np.log1p(np.exp(z)), (*labels, 0))]
-            beam = sorted(grown, reverse=True)[:BEAM]
-        return [i for i, v in enumerate(beam[0][1]) if v]
+                z = float(self.scale[0] * (_design(by, common, i, labels) @ self.weights[i]) + self.scale[1])
+                z = min(30.0, max(-30.0, z))
+                with_i = labels.copy()
+                with_i[i] = 1
+                grown += [(score - math.log1p(math.exp(-z)), with_i), (score - math.log1p(math.exp(z)), labels)]
+            beam = sorted(grown, key=lambda x: -x[0])[:BEAM]
+        return np.flatnonzero(beam[0][1]).tolist()
 
 
 def fit_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[list[str], Lexicon, Chain, list[str]]:
