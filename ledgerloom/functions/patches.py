@@ -38,20 +38,20 @@ def hunks(text: str | None) -> list[tuple]:
             elif line[:1] != "\\":
                 left[0], left[1] = left[0] - 1, left[1] - 1
             row[11] = left == [0, 0]
-        elif line.startswith("diff --git ") or (line.startswith("--- ") and not (here and here["fresh"])):
-            files, here, left = files + 1, {"old": None, "new": None, "fresh": line.startswith("diff"), "n": 0}, None
+        elif line.startswith("diff --git ") or (line.startswith("--- ") and (here is None or here["closed"])):
+            files, here, left = files + 1, {"old": None, "new": None, "closed": line.startswith("--- "), "n": 0}, None
             out.append([files, None, None, False, None, None, None, None, None, 0, 0, True])
             if line.startswith("--- "):
                 here["old"] = out[-1][1] = path_of(line[4:])
         elif here is None:
             continue
         elif line.startswith(("--- ", "rename from ")):
+            here["closed"] |= line.startswith("--- ")
             here["old"] = out[-1][1] = path_of(line.removeprefix("--- ").removeprefix("rename from "))
         elif line.startswith(("+++ ", "rename to ")):
-            here["new"], here["fresh"] = path_of(line.removeprefix("+++ ").removeprefix("rename to ")), False
-            out[-1][2] = here["new"]
+            here["new"] = out[-1][2] = path_of(line.removeprefix("+++ ").removeprefix("rename to "))
         elif line.startswith(("Binary files ", "GIT binary patch")):
-            out[-1][3] = True
+            out[-1][3] = here["closed"] = True
         elif m := _HUNK.match(line):
             here["n"] += 1
             old, new = int(m[2] or 1), int(m[4] or 1)

@@ -7,9 +7,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     """Comparison form: NFKC, then case folding."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
@@ -36,7 +37,7 @@ def _tree(text):
         return None
 
 
-@F.pandas_udf("nodes int, depth int")
+@F.pandas_udf(T.StructType([T.StructField("nodes", T.IntegerType()), T.StructField("depth", T.IntegerType())]))
 def json_tree_stats(s: pd.Series) -> pd.DataFrame:
     """Nodes and depth of a JSON text; null where it can't be read."""
     rows = [_tree(x) for x in s]
@@ -47,7 +48,7 @@ def forbidden_key_paths(keys: set[str]):
     """UDF: dotted paths (with [i]) of keys in ``keys``, whatever their case, anywhere in a JSON text."""
     low = {k.lower() for k in keys}
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def paths(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [p for p in (_tree(x) or ((), ()))[1] if p.rpartition(".")[2].lower() in low])
 
