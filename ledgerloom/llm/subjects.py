@@ -199,7 +199,8 @@ def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, o
                     w = 1 + np.log(c)  # what is repeated verbatim says little more
                     for t, v in zip(own, votes):
                         acc[t][_subject(total - v, 0.7)] += w  # -1 is the last place: none
-            yield pd.DataFrame({"w": list(acc), "counts": pd.Series([v.tolist() for v in acc.values()], dtype=object)})
+            if acc:
+                yield pd.DataFrame({"w": list(acc), "counts": [v.tolist() for v in acc.values()]})
 
         parts = rows.mapInPandas(run, "w string, counts array<double>")
         sums = parts.groupBy("w").agg(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(n + 1))).toPandas()  # at most MAX_WORDS
