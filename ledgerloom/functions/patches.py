@@ -71,6 +71,7 @@ def parse_patches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for part in it:
             rows = [(i, *h) for i, t in zip(part.iloc[:, 0], part.iloc[:, 1]) for h in hunks(t)]
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names if c.endswith(("_no", "start", "count", "added", "removed"))})
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names if c.endswith(("_no", "start", "count", "added", "removed"))})
 
     return df.select(id_col, text_col).mapInPandas(run, SCHEMA)

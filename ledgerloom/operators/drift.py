@@ -118,7 +118,8 @@ def _sketches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for k, x in v.items():
                     _note(fields, k, x, memo)
     out = [(s, f, p, json.dumps([x.types, x.kinds, x.bins, x.inner])) for (s, f), fields in files.items() for p, x in fields.items()]
-    yield pd.DataFrame(out, columns=["stream", "file_name", "path", "sketch"])
+    if out:
+        yield pd.DataFrame(out, columns=["stream", "file_name", "path", "sketch"])
 
 
 def field_sketches(lines: DataFrame) -> DataFrame:
