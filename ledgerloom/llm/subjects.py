@@ -123,7 +123,8 @@ def corpus_sentences(docs: DataFrame) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in it:
             c = Counter(s for text in part["text"] for s in sentences(text))
-            yield pd.DataFrame({"sentence": list(c), "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"sentence": list(c), "n": list(c.values())})
 
     return docs.select("text").mapInPandas(run, "sentence string, n bigint").groupBy("sentence").agg(F.sum("n").alias("n"))
 
@@ -144,7 +145,8 @@ def corpus_terms(corpus: DataFrame, often: dict[str, int]) -> DataFrame:
             for s, n in zip(part["sentence"], part["n"]):
                 c[terms(s, shared.value)] += n
             c.pop((), None)
-            yield pd.DataFrame({"terms": [" ".join(t) for t in c], "least": [min(shared.value[x] for x in t) for t in c], "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"terms": [" ".join(t) for t in c], "least": [min(shared.value[x] for x in t) for t in c], "n": list(c.values())})
 
     return corpus.mapInPandas(run, "terms string, least bigint, n bigint").groupBy("terms", "least").agg(F.sum("n").alias("n"))
 
@@ -255,9 +257,9 @@ class Chain:
 
     def fit(self, by: np.ndarray, common: np.ndarray, y: np.ndarray) -> Chain:
         """Rows of features and 0/1 labels. Models start from what all subjects share, so rare subjects need few labels."""
-        rows, before = len(by), np.zeros
-        xs = [np.array([_design(by[r], common[r], i, np.r_[y[r, :i], before(self.n - i)]) for r in range(rows)]) for i in range(self.n)]
-        d = xs[0].shape[1]
+        rows, none = len(by), np.zeros(self.n)
+        d = len(_design(none, np.zeros(common.shape[1]), 0, none))
+        xs = [np.array([_design(by[r], common[r], i, np.r_[y[r, :i], none[i:]]) for r in range(rows)]).reshape(rows, d) for i in range(self.n)]
         start = np.zeros(d)
         start[:4] = -3, 0.5, 4, 5  # one sentence is a passing mention, two are about
         pooled = self._fit(np.concatenate(xs), np.concatenate([y[:, i] for i in range(self.n)]).astype(float), start, self.ridge)
@@ -331,7 +333,8 @@ def document_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame) -
         names, lexicon, chain, sources = model.value
         for part in it:
             out = [(d, names[i]) for d, t, s in zip(part["doc_id"], part["text"], part["source"]) for i in chain.decode(*features(t, s, lexicon, sources))]
-            yield pd.DataFrame(out, columns=["doc_id", "subject"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "subject"])
 
     return docs.mapInPandas(run, "doc_id bigint, subject string")
 
