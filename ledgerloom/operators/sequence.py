@@ -57,3 +57,13 @@ def round_robin(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("bigint"))
     return ranked.filter(F.col("rank") <= limit).orderBy("rank", group).limit(limit)
+
+
+def built_chain(df: DataFrame, keys: list[str], order: str, code: Column) -> DataFrame:
+    """(keys, n, head): each short sequence as a hash chain; the head commits to all of it.
+
+    Building is sequential, so the fold runs over one bounded sequence at a time (checking a chain is not: ``chain``).
+    """
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), code.alias("c"))))
+    head = F.aggregate(items, F.lit(""), lambda a, x: F.sha2(F.concat(a, F.lit("|"), x["c"]), 256))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), head.alias("head"))

@@ -550,6 +550,173 @@ def budget_monotonicity(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.coalesce(COL("o_totalprice") <= before, F.lit(True)).alias("monotone"))
 
 
+# ---- further projections, rules and joins
+
+
+@query("SELECT event_id, sha256('{\"type\":\"' || event_type || '\",\"user\":' || user_id || '}') AS identity FROM events")
+def identity_projection(spark, d):
+    """The record without its own id, name and time: what is compared when runs are repeated."""
+    r = F.struct(COL("event_id").alias("id"), COL("ts"), COL("event_type").alias("type"), COL("user_id").alias("user"))
+    return load(spark, d, "events").select("event_id", F.sha2(F.to_json(r.dropFields("id", "ts")), 256).alias("identity"))
+
+
+@query("SELECT event_id, count(*) OVER w AS state_version, count(*) OVER w - 1 AS history_size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def state_projection(spark, d):
+    n = F.count("*").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return load(spark, d, "events").select("event_id", n.alias("state_version"), (n - 1).alias("history_size"))
+
+
+@query("SELECT doc_id, (i - 1) // 4 AS chunk, string_agg(t[i], ' / ' ORDER BY i) AS joined FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS g(i) GROUP BY 1, 2")
+def chunk_regroup(spark, d):
+    lines = load(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    g = lines.groupBy("doc_id", long(F.floor(COL("i") / 4)).alias("chunk"))
+    return g.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), " / ").alias("joined"))
+
+
+@query(r"SELECT doc_id, coalesce(len(list_filter(string_split(text, chr(10))[greatest(pos - 3, 1):pos + 3], lambda x: regexp_matches(x, '\bguard\b'))) > 0, false) AS grounded FROM (SELECT *, coalesce(n_chars, 0) % 20 + 1 AS pos FROM documents)")
+def grounded_locations(spark, d):
+    """Range join of a location and its file's lines, with EXISTS semantics: three lines around are searched in place."""
+    at = (F.coalesce("n_chars", F.lit(0)) % 20 + 1).cast("int")
+    first = F.greatest(at - 3, F.lit(1))
+    near = F.slice(F.split("text", "\n"), first, at + 3 - first + 1)
+    return load(spark, d, "documents").select("doc_id", F.coalesce(F.exists(near, lambda x: x.rlike(r"\bguard\b")), F.lit(False)).alias("grounded"))
+
+
+@query("SELECT readiness_id, ready IN ('yes', 'no') AS ready_ok, NOT (coalesce(ready = 'yes', false) AND blocker IS NOT NULL) AS blocker_ok, CASE WHEN ready = 'yes' AND blocker IS NOT NULL THEN 'path' WHEN ready IS NULL THEN 'structured' WHEN ready NOT IN ('yes', 'no') THEN 'semantic' ELSE 'valid' END AS repair_class FROM r01_readiness")
+def report_domain_checks(spark, d):
+    ok = COL("ready").isin("yes", "no")
+    clash = F.coalesce(COL("ready") == "yes", F.lit(False)) & COL("blocker").isNotNull()
+    kind = F.when(clash, "path").when(COL("ready").isNull(), "structured").when(~ok, "semantic").otherwise("valid")
+    return load(spark, d, "r01_readiness").select("readiness_id", ok.alias("ready_ok"), (~clash).alias("blocker_ok"), kind.alias("repair_class"))
+
+
+@query("SELECT load_id, coalesce(string_agg(DISTINCT blocker, ',' ORDER BY blocker) FILTER (blocker NOT IN ('license_unclear', 'logic_not_confirmed', 'citation_range_missing', 'frozen_revision_not_locatable', 'obligation_basis_generic_or_missing') AND NOT contains(blocker, ';')), '') AS misses FROM r01_readiness GROUP BY 1")
+def vocabulary_misses(spark, d):
+    known = F.array(*map(F.lit, ("license_unclear", "logic_not_confirmed", "citation_range_missing", "frozen_revision_not_locatable", "obligation_basis_generic_or_missing")))
+    seen = load(spark, d, "r01_readiness").groupBy("load_id").agg(F.collect_set(F.when(~F.contains("blocker", F.lit(";")), COL("blocker"))).alias("seen"))
+    return seen.select("load_id", F.array_join(F.array_sort(F.array_except("seen", known)), ",").alias("misses"))
+
+
+@query("SELECT record_id, NOT (source_locator IS NULL AND NOT contains(coalesce(blocker, ''), 'not_locatable')) AS uncertainty_ok, CASE WHEN load_id = 'load-12' THEN 'current' WHEN load_id IS NULL THEN 'unknown' ELSE load_id || '-stale' END AS generation FROM r01_candidates")
+def evidence_rules(spark, d):
+    silent = COL("source_locator").isNull() & ~F.contains(F.coalesce("blocker", F.lit("")), F.lit("not_locatable"))
+    generation = F.when(COL("load_id") == "load-12", "current").when(COL("load_id").isNull(), "unknown").otherwise(F.concat("load_id", F.lit("-stale")))
+    return load(spark, d, "r01_candidates").select("record_id", (~silent).alias("uncertainty_ok"), generation.alias("generation"))
+
+
+@query("SELECT readiness_id, coalesce(sum(n), 0)::BIGINT AS n_receipts, coalesce(bool_or(c.local_catalog_key = r.local_catalog_key), false) AS bound FROM r01_readiness r LEFT JOIN (SELECT pair_id, local_catalog_key, count(*) AS n FROM r01_candidates GROUP BY 1, 2) c ON r.pair_id = c.pair_id GROUP BY readiness_id")
+def slots_and_receipts(spark, d):
+    """Receipts are counted per key before the join, so repeated rows don't multiply."""
+    c = load(spark, d, "r01_candidates").groupBy("pair_id", COL("local_catalog_key").alias("key")).agg(F.count("*").alias("n"))
+    j = load(spark, d, "r01_readiness").select("readiness_id", "pair_id", "local_catalog_key").join(c, "pair_id", "left")
+    return j.groupBy("readiness_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_receipts"), F.coalesce(F.bool_or(COL("key") == COL("local_catalog_key")), F.lit(False)).alias("bound"))
+
+
+_PROFILE = {"view": ("source_location", 1), "click": ("symbol", 2), "purchase": ("patch", 3), "error": ("trace", 5)}
+
+
+@query("SELECT event_id, coalesce(p.evidence, 'any') AS evidence, coalesce(p.cost, 4) AS cost FROM events LEFT JOIN (VALUES ('view', 'source_location', 1), ('click', 'symbol', 2), ('purchase', 'patch', 3), ('error', 'trace', 5)) p(op, evidence, cost) ON event_type = p.op")
+def operation_profile(spark, d):
+    """A fixed dimension of a few rows, as a map literal; operations it hasn't get the default."""
+    m = lambda i: F.create_map(*(F.lit(x) for k, v in _PROFILE.items() for x in (k, v[i])))
+    return load(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(m(0), COL("event_type")), F.lit("any")).alias("evidence"), F.coalesce(F.try_element_at(m(1), COL("event_type")), F.lit(4)).alias("cost"))
+
+
+@query("SELECT a.user_id, count(*) AS steps, bool_and(a.event_id = b.event_id) AS identical FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) a JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) b ON a.user_id = b.user_id AND a.r = b.r GROUP BY 1")
+def events_and_transitions(spark, d):
+    e = load(spark, d, "events")
+    step = lambda name, *order: e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).alias("r"), COL("event_id").alias(name))
+    return step("a", "event_id").join(step("b", "ts", "event_id"), ["user_id", "r"]).groupBy("user_id").agg(F.count("*").alias("steps"), F.every(COL("a") == COL("b")).alias("identical"))
+
+
+@query("SELECT event_id, printf('O-%04d', list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)) AS obligation FROM events")
+def obligation_renumber(spark, d):
+    at = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), COL("event_type"))
+    return load(spark, d, "events").select("event_id", F.format_string("O-%04d", at).alias("obligation"))
+
+
+@query("SELECT pair_id, count(*) AS n, count(*) FILTER (CASE WHEN same THEN 'reuse' ELSE 'recompute' END = 'reuse') AS reused FROM (SELECT c.pair_id, c.buggy_revision IS NOT DISTINCT FROM f.b AND c.fixed_revision IS NOT DISTINCT FROM f.x AS same FROM r01_candidates c JOIN (SELECT pair_id, arg_min(coalesce(buggy_revision, '~'), record_id) AS b0, arg_min(coalesce(fixed_revision, '~'), record_id) AS x0, nullif(b0, '~') AS b, nullif(x0, '~') AS x FROM r01_candidates GROUP BY pair_id) f ON c.pair_id = f.pair_id) GROUP BY 1")
+def reuse_decision(spark, d):
+    c = load(spark, d, "r01_candidates").filter("pair_id IS NOT NULL").select("pair_id", "record_id", "buggy_revision", "fixed_revision")
+    first = c.groupBy("pair_id").agg(F.min_by(F.struct("buggy_revision", "fixed_revision"), "record_id").alias("f"))
+    same = COL("buggy_revision").eqNullSafe(COL("f.buggy_revision")) & COL("fixed_revision").eqNullSafe(COL("f.fixed_revision"))
+    return c.join(first, "pair_id").groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if(same).alias("reused"))
+
+
+@query("SELECT load_id, c.n AS counted, l.n AS listed, c.n = l.n AS agree FROM (SELECT load_id, count(*) AS n FROM r01_readiness GROUP BY 1) c JOIN (SELECT load_id, sum(CASE WHEN ready IS NULL THEN 1 ELSE 1 END)::BIGINT AS n FROM r01_readiness GROUP BY 1) l USING (load_id)")
+def counts_agree(spark, d):
+    r = load(spark, d, "r01_readiness")
+    counted = r.groupBy("load_id").agg(F.count("*").alias("counted"))
+    listed = r.groupBy("load_id", "ready").count().groupBy("load_id").agg(F.sum("count").alias("listed"))
+    return counted.join(listed, "load_id").withColumn("agree", COL("counted") == COL("listed"))
+
+
+@query("SELECT load_id, passed, failed, skipped, sha256(string_agg(h, ',' ORDER BY b)) AS ids FROM (SELECT load_id, readiness_id // 1000 AS b, sha256(string_agg(readiness_id::VARCHAR, ',' ORDER BY readiness_id)) AS h FROM r01_readiness GROUP BY 1, 2) JOIN (SELECT load_id, count(*) FILTER (ready = 'yes') AS passed, count(*) FILTER (ready = 'no') AS failed, count(*) FILTER (ready IS NULL OR ready NOT IN ('yes', 'no')) AS skipped FROM r01_readiness GROUP BY 1) USING (load_id) GROUP BY 1, 2, 3, 4")
+def outcome_counts(spark, d):
+    """Outcomes per load and the commitment to its ordered ids, by buckets of ids first."""
+    r = load(spark, d, "r01_readiness")
+    b = r.groupBy("load_id", F.floor(COL("readiness_id") / 1000).alias("b")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("readiness_id")).cast("array<string>"), ","), 256).alias("h"),
+        F.count_if(COL("ready") == "yes").alias("p"), F.count_if(COL("ready") == "no").alias("f"), F.count("*").alias("n"))
+    ids = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","), 256)
+    return b.groupBy("load_id").agg(F.sum("p").alias("passed"), F.sum("f").alias("failed"), (F.sum("n") - F.sum("p") - F.sum("f")).alias("skipped"), ids.alias("ids"))
+
+
+@query("SELECT user_id, day, string_agg(event_type, '>' ORDER BY first) AS kinds FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, min(event_id) AS first FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def first_seen_distinct(spark, d):
+    e = load(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.min("event_id").alias("first"))
+    return e.groupBy("user_id", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"]), ">").alias("kinds"))
+
+
+@query("SELECT count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS in_both FROM (SELECT DISTINCT pair_id AS a FROM documents WHERE pair_id IS NOT NULL) FULL JOIN (SELECT DISTINCT pair_id AS b FROM r01_candidates WHERE pair_id IS NOT NULL) ON a = b")
+def pairing_equality(spark, d):
+    return R.set_comparison(load(spark, d, "documents").select("pair_id"), load(spark, d, "r01_candidates").select("pair_id"), "pair_id")
+
+
+@query("SELECT count(*)::BIGINT AS outside FROM r01_candidates WHERE load_id IS NULL OR load_id NOT IN (SELECT load_id FROM registry_loads)")
+def subset_check(spark, d):
+    return load(spark, d, "r01_candidates").select("load_id").join(load(spark, d, "registry_loads"), "load_id", "left_anti").agg(F.count("*").alias("outside"))
+
+
+@query(r"SELECT readiness_id, nullif(regexp_extract(cited_path, '([A-Za-z_]\w*)\.\w+$', 1), '') AS identifier, coalesce(nullif(trim(category_claim), ''), 'unknown') AS claim FROM r01_readiness")
+def final_identifier(spark, d):
+    return load(spark, d, "r01_readiness").select("readiness_id", F.nullif(F.regexp_extract("cited_path", r"([A-Za-z_]\w*)\.\w+$", 1), F.lit("")).alias("identifier"), F.coalesce(F.nullif(F.trim("category_claim"), F.lit("")), F.lit("unknown")).alias("claim"))
+
+
+@query("SELECT event_id, greatest(0, floor(value - 10))::BIGINT AS latency FROM events")
+def latency_floor(spark, d):
+    return load(spark, d, "events").select("event_id", F.greatest(F.lit(0), F.floor(COL("value") - 10)).alias("latency"))
+
+
+@query("SELECT event_type, CASE WHEN event_type = 'error' THEN 'provider' WHEN value < 5 THEN 'validation' WHEN value < 10 THEN 'context' ELSE 'none' END AS error_kind, count(*) AS n FROM events GROUP BY 1, 2")
+def error_classes(spark, d):
+    kind = F.when(COL("event_type") == "error", "provider").when(COL("value") < 5, "validation").when(COL("value") < 10, "context").otherwise("none")
+    return load(spark, d, "events").groupBy("event_type", kind.alias("error_kind")).agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_type, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d')) AS n FROM events), h AS (SELECT user_id, day, r, n, sha256('|' || event_type) AS head FROM x WHERE r = 1 UNION ALL SELECT x.user_id, x.day, x.r, x.n, sha256(h.head || '|' || x.event_type) FROM h JOIN x ON x.user_id = h.user_id AND x.day = h.day AND x.r = h.r + 1) SELECT user_id, day, n, head FROM h WHERE r = n")
+def episode_compile(spark, d):
+    e = load(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return S.built_chain(e, ["user_id", "day"], "event_id", COL("event_type"))
+
+
+@query("SELECT evidence_tier, family, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, count(*) / sum(count(*)) OVER () <= 0.25 AS within_quota FROM case_catalog GROUP BY 1, 2")
+def quota_table(spark, d):
+    """SPEC: share of each tier and family against its quota."""
+    g = load(spark, d, "case_catalog").groupBy("evidence_tier", "family").agg(F.count("*").alias("n"))
+    share = COL("n") / F.sum("n").over(Window.partitionBy())  # one row per tier and family
+    return g.select("evidence_tier", "family", "n", F.round(share, 6).alias("share"), (share <= 0.25).alias("within_quota"))
+
+
+@query("SELECT name, round(rate, 6) AS rate, rate >= least AS passed FROM (SELECT 'versions' AS name, avg((versions_locatable = 'yes')::INT) AS rate, 0.8 AS least FROM r01_readiness UNION ALL SELECT 'license', avg((license_clear = 'yes')::INT), 0.95 FROM r01_readiness UNION ALL SELECT 'citation', avg((citation_range_exists = 'yes')::INT), 0.5 FROM r01_readiness)")
+def engineering_gates(spark, d):
+    """SPEC: rates against thresholds."""
+    gates = {"versions": ("versions_locatable", 0.8), "license": ("license_clear", 0.95), "citation": ("citation_range_exists", 0.5)}
+    rates = load(spark, d, "r01_readiness").agg(*(F.avg((COL(c) == "yes").cast("int")).alias(n) for n, (c, _) in gates.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), COL(n).alias("rate"), F.lit(t).alias("least")) for n, (_, t) in gates.items()))).alias("g")
+    return rates.select(rows).select("g.name", F.round("g.rate", 6).alias("rate"), (COL("g.rate") >= COL("g.least")).alias("passed"))
+
+
 # ---- functions that SQL lacks (checked by tests)
 
 
@@ -579,3 +746,24 @@ def patch_hunks(spark, d):
     from ledgerloom.functions.patches import parse_patches
 
     return parse_patches(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def contract_key_scan(spark, d):
+    from ledgerloom.functions.text import contract_key_paths
+
+    return load(spark, d, "enrichment_raw").select("raw_id", F.explode(contract_key_paths({"sha256", "guard"})("body")).alias("key_path"))
+
+
+@query()
+def oracle_scalars(spark, d):
+    from ledgerloom.functions.text import protected_scalars
+
+    return load(spark, d, "enrichment_raw").select("raw_id", F.explode(protected_scalars({"hypothesis", "sha256"})("body")).alias("scalar"))
+
+
+@query()
+def fitted_truncation(spark, d):
+    from ledgerloom.functions.text import fitting_length
+
+    return load(spark, d, "documents").select("doc_id", fitting_length(400)("text").alias("fits")).withColumn("cut", COL("fits") < 400)

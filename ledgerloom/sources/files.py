@@ -64,3 +64,32 @@ def write_verified(df: DataFrame, path: str, kind: str = "parquet") -> DataFrame
     if not df.exceptAll(back).isEmpty() or not back.exceptAll(df).isEmpty():
         raise ValueError(f"{path}: what was read back differs")
     return back
+
+
+def grammar_scan(inventory: DataFrame, pattern: str, names: list[str]) -> DataFrame:
+    """File inventory with the parts of each path; raises for a file that doesn't follow the directory grammar."""
+    ok = F.col("path").rlike(pattern)
+    parts = [F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(names)]
+    return inventory.select("*", *parts).withColumn("path", F.when(ok, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("unexpected file "), "path"))))
+
+
+def tree_digest(inventory: DataFrame, buckets: int = 1024) -> DataFrame:
+    """One row: the digest of all (path, sha256), by buckets of the path first, so any number of files fits."""
+    b = inventory.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"), F.concat_ws(" ", "path", "sha256").alias("line"))
+    b = b.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
+    return b.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256)).alias("digest"))
+
+
+def reused_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests with their recorded response by commitment; ``cached`` tells. Nothing is called from here."""
+    return requests.join(responses.withColumn("cached", F.lit(True)), "commitment", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
+def markdown_table(report: DataFrame, most: int = 200) -> str:
+    """A small report as Markdown, columns in order; raises beyond ``most`` rows."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("a report has few rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
+    head = [report.columns, ["---"] * len(report.columns)]
+    return "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in [*head, *rows])

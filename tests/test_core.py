@@ -205,3 +205,35 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert {"coverage_status", "p2_found", "p5_found", "p6_found"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_more_text_functions(spark):
+    df = spark.createDataFrame([('{"Guard-Location":{"x":["a",{"y":"b"}]},"z":"c"}', 'ab"é' * 50), ("{cut", None), (None, "")], "j string, t string")
+    out = df.select(text.contract_key_paths({"guard_l"})("j").alias("k"), text.protected_scalars({"guard"})("j").alias("s"), text.fitting_length(40)("t").alias("n")).collect()
+    assert out[0].k == ["Guard-Location"] and out[0].s == ["a", "b"] and out[1].k == [] and out[2].s == []
+    fits = lambda n: len(json.dumps(('ab"é' * 50)[:n], ensure_ascii=False).encode()) <= 40
+    assert fits(out[0].n) and not fits(out[0].n + 1) and out[1].n is None and out[2].n == 0
+
+
+def test_file_tools(spark, tmp_path):
+    for name in ("a/x.json", "b/y.json"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(name)
+    inv = files.file_inventory(spark, str(tmp_path))
+    assert sorted(r.part for r in files.grammar_scan(inv, r"/([ab])/\w\.json$", ["part"]).collect()) == ["a", "b"]
+    with pytest.raises(Exception):
+        files.grammar_scan(inv, r"/(a)/\w\.json$", ["part"]).collect()
+    first = files.tree_digest(inv).head()[0]
+    (tmp_path / "b/y.json").write_text("changed")
+    assert files.tree_digest(files.file_inventory(spark, str(tmp_path))).head()[0] != first
+    req, res = spark.createDataFrame([("h1",), ("h2",)], "commitment string"), spark.createDataFrame([("h1", "r")], "commitment string, response string")
+    assert sorted((r.commitment, r.response, r.cached) for r in files.reused_responses(req, res).collect()) == [("h1", "r", True), ("h2", None, False)]
+    assert files.markdown_table(spark.createDataFrame([("a|b", None)], "x string, y string")) == "| x | y |\n| --- | --- |\n| a\\|b |  |"
+
+
+def test_built_chain(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a")], "u string, o int, c string")
+    h = hashlib.sha256((hashlib.sha256(b"|a").hexdigest() + "|b").encode()).hexdigest()
+    assert tuple(sequence.built_chain(df, ["u"], "o", F.col("c")).head()) == ("u", 2, h)
