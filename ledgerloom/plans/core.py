@@ -92,5 +92,49 @@ def readiness_profile(spark: SparkSession, d: str) -> DataFrame:
     return base_profile(load(spark, d, "r01_readiness"), "r01_readiness", _READINESS, READINESS_FORMS, "readiness_id", "load_id")
 
 
-QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, readiness_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
-ORACLE = reference.ORACLE | {"readiness_profile": _profile_sql("r01_readiness", _READINESS, {"ready": "ready NOT IN ('yes', 'no')"})}
+def _pair_sql(c: str) -> str:
+    s = f"lower(trim({c}))"
+    rx = r"'^r0*([0-9]+)[ _-]+pair[ _-]+0*([0-9]+)$'"
+    return f"CASE WHEN regexp_matches({s}, {rx}) THEN regexp_replace({s}, {rx}, '\\1:\\2') ELSE nullif({s}, '') END"
+
+
+_ORPHAN_SQL = f"""WITH p AS (SELECT 'pair_id' AS ref_column, {_pair_sql("pair_id")} AS key, loaded_at AS s, removed_at AS e FROM r01_candidates UNION ALL SELECT 'local_catalog_key', nullif(lower(trim(case_id)), ''), added_at, removed_at FROM case_catalog),
+r AS (SELECT readiness_id, 'pair_id' AS ref_column, {_pair_sql("pair_id")} AS key, checked_at FROM r01_readiness UNION ALL SELECT readiness_id, 'local_catalog_key', nullif(lower(trim(local_catalog_key)), ''), checked_at FROM r01_readiness),
+j AS (SELECT readiness_id, r.ref_column, checked_at, count(p.key) AS n, coalesce(bool_or(s <= checked_at), false) AS begun, coalesce(bool_or(s <= checked_at AND (e IS NULL OR checked_at < e)), false) AS live FROM r LEFT JOIN p ON p.ref_column = r.ref_column AND p.key = r.key WHERE r.key IS NOT NULL GROUP BY ALL)
+SELECT readiness_id, ref_column, checked_at, CASE WHEN n = 0 THEN 'missing' WHEN begun THEN 'deleted' ELSE 'late' END AS reason FROM j WHERE NOT live"""
+
+_BLOCKER_BAD = "NOT regexp_full_match(';' || blocker, '" + "".join(f"(;{b})?" for b in BLOCKERS) + "') OR blocker = ''"
+_LICENSE_BAD = r"NOT regexp_full_match(license_note, 'artifact_license:[A-Za-z0-9._+\-]+(;spdx_guess:[A-Za-z0-9._+\-]+)?')"
+_REVISION_BAD = "NOT regexp_full_match(dataset_revision, 'sha256:[0-9a-f]{64}')"
+_CANDIDATE_BAD = {"blocker": _BLOCKER_BAD, "license_note": _LICENSE_BAD, "dataset_revision": _REVISION_BAD}
+
+
+def _issues_sql() -> str:
+    parts = []
+    for table, row, c, bad in [*(("r01_candidates", "record_id", c, b) for c, b in _CANDIDATE_BAD.items()), ("r01_readiness", "readiness_id", "ready", "ready NOT IN ('yes', 'no')")]:
+        parts.append(f"SELECT '{table}' AS table_name, '{c}' AS column_name, 'pattern' AS issue, load_id, {row} AS row_id FROM {table} WHERE {c} IS NOT NULL AND ({bad})")
+        shares = f"SELECT k, v, n / sum(n) OVER (PARTITION BY k) AS share FROM (SELECT dense_rank() OVER (ORDER BY l.load_seq) AS k, t.{c} AS v, count(*) AS n FROM {table} t JOIN registry_loads l USING (load_id) GROUP BY l.load_seq, t.{c})"
+        ranks = f"SELECT DISTINCT dense_rank() OVER (ORDER BY l.load_seq) AS k, load_id FROM {table} JOIN registry_loads l USING (load_id)"
+        moved = f"SELECT k, v, sum(x) AS d FROM (SELECT k, v, share AS x FROM ({shares}) UNION ALL SELECT k + 1, v, -share FROM ({shares})) GROUP BY 1, 2"
+        parts.append(f"SELECT DISTINCT '{table}', '{c}', 'shift', load_id, 0::BIGINT FROM ({moved}) m JOIN ({ranks}) r USING (k) WHERE k > 1 AND abs(d) > 0.2 + 1e-12")
+    return " UNION ALL ".join(parts)
+
+
+_CANDIDATE_COLUMNS = ["record_id", "pair_id", "project_family", "dataset_origin", "dataset_revision", "source_locator", "buggy_revision", "fixed_revision", "category_claim", "obligation_basis", "status", "license_note", "split", "blocker", "local_catalog_key", "load_id"]
+
+
+def candidate_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Base aggregates of the candidate table's columns but for times."""
+    return base_profile(load(spark, d, "r01_candidates"), "r01_candidates", _CANDIDATE_COLUMNS, CANDIDATE_FORMS, "record_id", "load_id")
+
+
+ORPHANS = {
+    "p5_found": f"SELECT readiness_id, ref_column, reason FROM ({_ORPHAN_SQL})",
+    "p5_report": f"SELECT 'r01_readiness' AS table_name, ref_column, strftime(checked_at AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*) AS n FROM ({_ORPHAN_SQL}) GROUP BY ALL",
+}
+PROFILES = {
+    "readiness_profile": _profile_sql("r01_readiness", _READINESS, {"ready": "ready NOT IN ('yes', 'no')"}),
+    "candidate_profile": _profile_sql("r01_candidates", _CANDIDATE_COLUMNS, _CANDIDATE_BAD),
+}
+QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
+ORACLE = reference.ORACLE | PROFILES | ORPHANS | {"p2_found": _issues_sql()}
