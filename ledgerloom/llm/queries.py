@@ -77,4 +77,40 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_composition)}
-ORACLE: dict[str, str] = {}
+
+
+def _revision_sql(c: str) -> str:
+    s = f"lower(trim(replace({c}, chr(8203), '')))"
+    s = f"""regexp_replace({s}, '^"|"$|\\^\\{{commit\\}}$', '', 'g')"""
+    s = f"regexp_replace({s}, '^(commit |git:)', '')"
+    s = f"regexp_replace(regexp_replace({s}, '^.*/', ''), '^v[0-9.]+-[0-9]+-g', '')"
+    return f"CASE WHEN length({s}) >= 8 AND {s} NOT IN ('undefined', repeat('0', 40)) THEN {s} END"
+
+
+def _locator_sql(c: str) -> str:
+    s = f"lower(trim(replace({c}, chr(8203), '')))"
+    s = f"regexp_replace(regexp_replace(regexp_replace({s}, '^git[+]', ''), '^[a-z]+://', ''), '[?#].*$', '')"
+    s = f"regexp_replace(regexp_replace(regexp_replace({s}, '^[^/@]*@', ''), '^www[.]', ''), ':22/', '/')"
+    s = f"regexp_replace(regexp_replace(replace({s}, ':', '/'), '/+', '/', 'g'), '([.]git)?/?$', '')"
+    return f"nullif(array_to_string(string_split({s}, '/')[1:3], '/'), '')"
+
+
+_AGREE = "({0} = {1} OR (least(length({0}), length({1})) >= 8 AND (starts_with({0}, {1}) OR starts_with({1}, {0}))))"
+_TYPO = "(length({0}) >= 36 AND length({1}) >= 36 AND abs(length({0}) - length({1})) <= 2 AND levenshtein({0}, {1}) <= 2)"
+
+
+def _overlap_sql() -> str:
+    """Rows that share a revision's first 8 characters, then the rule in full."""
+    b, f = _AGREE.format("e.b", "t.b"), _AGREE.format("e.f", "t.f")
+    loose = lambda x: f"(e.{x} IS NULL OR t.{x} IS NULL OR {_TYPO.format('e.' + x, 't.' + x)})"
+    rows = f"SELECT record_id, {_locator_sql('source_locator')} AS a, {_revision_sql('buggy_revision')} AS b, {_revision_sql('fixed_revision')} AS f, lower(trim(split)) AS split FROM r01_candidates"
+    keyed = "SELECT *, unnest([('b', left(b, 8)), ('f', left(f, 8))]) AS k FROM rows"
+    return f"""WITH rows AS MATERIALIZED ({rows}), keyed AS ({keyed}),
+pairs AS (SELECT DISTINCT e.record_id AS e_id, t.record_id AS t_id FROM (SELECT * FROM keyed WHERE split IN ('dev_pilot', 'dev', 'time_ood_test') AND k[2] IS NOT NULL) e JOIN (SELECT * FROM keyed WHERE split = 'train' AND k[2] IS NOT NULL) t ON e.k = t.k
+WHERE coalesce({b}, false) AND coalesce({f}, false) OR e.a = t.a AND (coalesce({b}, false) AND {loose("f")} OR coalesce({f}, false) AND {loose("b")}))"""
+
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"{_overlap_sql()} SELECT least(e_id, t_id) AS record_id_a, greatest(e_id, t_id) AS record_id_b FROM pairs",
+    "p1_report": f"{_overlap_sql()}, hits AS (SELECT e_id, count(*) AS n FROM pairs GROUP BY 1) SELECT lower(trim(split)) AS split, nullif(lower(trim(dataset_origin)), '') AS source, count(*) AS eval_rows, count(n) AS overlapping_rows, coalesce(sum(n), 0)::BIGINT AS pairs, round(count(n) / count(*), 6) AS overlap_share FROM r01_candidates LEFT JOIN hits ON e_id = record_id WHERE lower(trim(split)) IN ('dev_pilot', 'dev', 'time_ood_test') GROUP BY 1, 2",
+}
