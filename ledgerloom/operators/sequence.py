@@ -7,21 +7,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def chain(df: DataFrame, keys: list[str], order: str, record: Column) -> DataFrame:
+#: Order values per bucket: a key with a third of all rows is ordered in pieces of this span.
+SPAN = 50_000
+
+
+def _bucketed(df: DataFrame, order: str, span: int) -> DataFrame:
+    return df.withColumn("_b", F.floor(F.col(order) / span))
+
+
+def positioned(df: DataFrame, keys: list[str], order: str, previous: dict[str, Column] | None = None, following: dict[str, Column] | None = None, span: int = SPAN) -> DataFrame:
+    """With ``position`` (from 0) in the key's order, and values of the row before and after, by new name.
+
+    Exactly what windows over the keys give, but no task orders a whole key: rows are ordered within buckets of
+    the (numeric, unique) order column, and buckets are tied together by one row each. A null order comes first.
+    """
+    previous, following = previous or {}, following or {}
+    df = _bucketed(df, order, span)
+    for name, c in (previous | following).items():
+        df = df.withColumn(f"_v_{name}", c)
+    near = [F.count("*").alias("_n")]
+    near += [F.max_by(f"_v_{n}", F.coalesce(order, F.lit(-(1 << 62)))).alias(f"_e_{n}") for n in previous]
+    near += [F.min_by(f"_v_{n}", F.coalesce(order, F.lit(-(1 << 62)))).alias(f"_e_{n}") for n in following]
+    w = Window.partitionBy(*keys).orderBy("_b")
+    ties = df.groupBy(*keys, "_b").agg(*near)
+    ties = ties.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_b").alias("_kb"), "_n",
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        *(F.lag(f"_e_{n}").over(w).alias(f"_t_{n}") for n in previous), *(F.lead(f"_e_{n}").over(w).alias(f"_t_{n}") for n in following))
+    same = F.col("_b").eqNullSafe(F.col("_kb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    own = Window.partitionBy(*keys, "_b").orderBy(order)
+    out = df.join(ties, same).withColumn("_r", F.row_number().over(own))
+    for n in previous:
+        out = out.withColumn(n, F.when(F.col("_r") == 1, F.col(f"_t_{n}")).otherwise(F.lag(f"_v_{n}").over(own)))
+    for n in following:
+        out = out.withColumn(n, F.when(F.col("_r") == F.col("_n"), F.col(f"_t_{n}")).otherwise(F.lead(f"_v_{n}").over(own)))
+    out = out.withColumn("position", (F.col("_before") + F.col("_r") - 1).cast("bigint"))
+    return out.drop("_b", "_kb", "_n", "_before", "_r", *(f"_k_{k}" for k in keys), *(f"{p}_{n}" for n in previous | following for p in ("_v", "_t")))
+
+
+def chain(df: DataFrame, keys: list[str], order: str, record: Column, span: int = SPAN) -> DataFrame:
     """With ``position`` (from 0), ``event_sha`` of the record and ``previous_sha`` of the one before (null at 0)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = df.withColumn("event_sha", F.sha2(record, 256)).withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
-    return out.withColumn("previous_sha", F.lag("event_sha").over(w))
-
-
-def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """(keys, start, end, n): overlapping or touching intervals merged; islands by the running greatest end."""
-    w = Window.partitionBy(*keys).orderBy(start, tie)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("_new", fresh).withColumn("_island", island)
-    return out.groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("_island")
+    df = df.withColumn("event_sha", F.sha2(record, 256))
+    return positioned(df, keys, order, previous={"previous_sha": F.col("event_sha")}, span=span)
+
+
+def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, tie: str, span: int = 86_400_000_000) -> DataFrame:
+    """(keys, start, end, n): overlapping or touching intervals merged; islands by the running greatest end.
+
+    The running values go through buckets of ``span`` start units, tied together by one row per bucket.
+    """
+    w, own = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy(start, tie)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = _bucketed(df, start, span)
+    far = df.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).withColumn("_far", F.max("_m").over(before)).drop("_m")
+    reach = F.greatest("_far", F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    df = df.join(far, [*keys, "_b"]).withColumn("_reach", reach)
+    df = df.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0))
+    new = df.groupBy(*keys, "_b").agg(F.sum("_new").alias("_s")).withColumn("_islands", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    island = F.col("_islands") + F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.join(new, [*keys, "_b"]).withColumn("_island", island)
+    return df.groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("_island")
 
 
 def ordered_codes(df: DataFrame, keys: list[str], order: str, code: Column) -> DataFrame:

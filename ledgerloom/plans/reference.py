@@ -396,10 +396,10 @@ def invocation_bound(spark, d):
 # ---- order and sequence
 
 
-@query("SELECT event_id, 'S-' || lpad((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::VARCHAR, 6, '0') AS step FROM events")
+@query("SELECT event_id, 'S-' || lpad((row_number() OVER (PARTITION BY user_id ORDER BY event_id))::VARCHAR, 6, '0') AS step FROM events")
 def step_numbering(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(spark, d, "events").select("event_id", F.concat(F.lit("S-"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("step"))
+    e = S.positioned(load(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+    return e.select("event_id", F.concat(F.lit("S-"), F.lpad((COL("position") + 1).cast("string"), 6, "0")).alias("step"))
 
 
 _SHA = "sha256(event_id || '|' || event_type)"
@@ -408,7 +408,7 @@ _SHA = "sha256(event_id || '|' || event_type)"
 @query(f"SELECT event_id, row_number() OVER w - 1 AS position, {_SHA} AS event_sha, lag({_SHA}) OVER w AS previous_sha FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def event_chain(spark, d):
     record = F.concat_ws("|", COL("event_id").cast("string"), "event_type")
-    return S.chain(load(spark, d, "events"), ["user_id"], "event_id", record).select("event_id", "position", "event_sha", "previous_sha")
+    return S.chain(load(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id"], "event_id", record).select("event_id", "position", "event_sha", "previous_sha")
 
 
 @query("SELECT file_name, bool_and(line_no = r) AS gap_free FROM (SELECT file_name, line_no, row_number() OVER (PARTITION BY file_name ORDER BY line_no) AS r FROM enrichment_raw) GROUP BY 1")
@@ -431,13 +431,16 @@ def bounded_history(spark, d):
 
 @query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL AS done FROM events")
 def terminal_flag(spark, d):
-    return load(spark, d, "events").select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).isNull().alias("done"))
+    """The last row of each key is the greatest: an aggregate and a join, no ordering."""
+    e = load(spark, d, "events").select("event_id", "user_id")
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    return e.join(last, "user_id").select("event_id", (COL("event_id") == COL("last")).alias("done"))
 
 
 @query("SELECT event_id, CASE coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '') WHEN 'error' THEN 'repair' WHEN '' THEN 'initial' ELSE 'continue' END AS purpose FROM events")
 def transition_from_previous(spark, d):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return load(spark, d, "events").select("event_id", F.when(before == "error", "repair").when(before.isNull(), "initial").otherwise("continue").alias("purpose"))
+    e = S.positioned(load(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", previous={"before": COL("event_type")})
+    return e.select("event_id", F.when(COL("before") == "error", "repair").when(COL("before").isNull(), "initial").otherwise("continue").alias("purpose"))
 
 
 @query("SELECT o_custkey, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS contiguous FROM orders GROUP BY 1")
@@ -539,15 +542,15 @@ def dcg_topk(spark, d):
 
 @query("SELECT a AS event_type, b AS next_type, count(*) AS n, a <> 'error' OR b <> 'purchase' AS legal FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL GROUP BY 1, 2")
 def automaton_transitions(spark, d):
-    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    g = load(spark, d, "events").select("event_type", nxt.alias("next_type")).filter("next_type IS NOT NULL").groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
+    e = S.positioned(load(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", following={"next_type": COL("event_type")})
+    g = e.select("event_type", "next_type").filter("next_type IS NOT NULL").groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
     return g.withColumn("legal", (COL("event_type") != "error") | (COL("next_type") != "purchase"))
 
 
 @query("SELECT o_orderkey, coalesce(o_totalprice <= lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), true) AS monotone FROM orders")
 def budget_monotonicity(spark, d):
-    before = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return load(spark, d, "orders").select("o_orderkey", F.coalesce(COL("o_totalprice") <= before, F.lit(True)).alias("monotone"))
+    o = S.positioned(load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", previous={"before": COL("o_totalprice")})
+    return o.select("o_orderkey", F.coalesce(COL("o_totalprice") <= COL("before"), F.lit(True)).alias("monotone"))
 
 
 # ---- further projections, rules and joins
@@ -562,8 +565,8 @@ def identity_projection(spark, d):
 
 @query("SELECT event_id, count(*) OVER w AS state_version, count(*) OVER w - 1 AS history_size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def state_projection(spark, d):
-    n = F.count("*").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return load(spark, d, "events").select("event_id", n.alias("state_version"), (n - 1).alias("history_size"))
+    e = S.positioned(load(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+    return e.select("event_id", (COL("position") + 1).alias("state_version"), COL("position").alias("history_size"))
 
 
 @query("SELECT doc_id, (i - 1) // 4 AS chunk, string_agg(t[i], ' / ' ORDER BY i) AS joined FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS g(i) GROUP BY 1, 2")

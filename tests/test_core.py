@@ -4,6 +4,7 @@ from datetime import datetime
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import patches, predicates, text
 from ledgerloom.operators import drift, orphans, profile, reconcile, sequence
@@ -237,3 +238,24 @@ def test_built_chain(spark):
     df = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a")], "u string, o int, c string")
     h = hashlib.sha256((hashlib.sha256(b"|a").hexdigest() + "|b").encode()).hexdigest()
     assert tuple(sequence.built_chain(df, ["u"], "o", F.col("c")).head()) == ("u", 2, h)
+
+
+def test_positions_are_windows(spark):
+    import random
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(r.choice(["a", "a", "a", "b", None]), i * 3, r.choice(["x", "y", None])) for i in range(500)], "u string, o bigint, v string")
+    w = Window.partitionBy("u").orderBy("o")
+    want = df.select("o", (F.row_number().over(w) - 1).alias("p"), F.lag("v").over(w).alias("l"), F.lead("v").over(w).alias("n"))
+    got = sequence.positioned(df, ["u"], "o", previous={"l": F.col("v")}, following={"n": F.col("v")}, span=40)
+    assert sorted(map(tuple, want.collect()), key=str) == sorted(((x.o, x.position, x.l, x.n) for x in got.collect()), key=str)
+
+
+def test_intervals_across_buckets(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(r.choice("ab"), s := r.randrange(3000), s + r.choice([1, 3, 200]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint, t bigint")
+    got = lambda span: sorted(map(tuple, sequence.merged_intervals(df, ["k"], "s", "e", "t", span).collect()))
+    assert got(7) == got(500) == got(10**9) and sum(x[3] for x in got(7)) == 400
