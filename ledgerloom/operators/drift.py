@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.session import ship
+
 BINS = 64
 #: The kinds of string content, tried in this order.
 KINDS = {
@@ -124,6 +126,7 @@ def _sketches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def field_sketches(lines: DataFrame) -> DataFrame:
     """(stream, file_name, path, sketch): partial sketches by partition, to be added up."""
+    ship(lines.sparkSession)
     return lines.select("stream", "file_name", "body").mapInPandas(_sketches, "stream string, file_name string, path string, sketch string")
 
 

@@ -8,13 +8,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application, wherever they run."""
+    home = Path(__file__).parent
+    if spark.sparkContext.applicationId in _SHIPPED or not home.is_dir():
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    staged = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom.zip"  # on the driver; Spark hands it out
+    with zipfile.ZipFile(staged, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(staged))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that results depend on: UTC timestamps."""
+    """What results depend on: UTC timestamps, and this package in the workers."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
@@ -40,6 +59,7 @@ class Scratch:
     """Named intermediate tables in the shared folder."""
 
     def __init__(self, spark: SparkSession, purpose: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
