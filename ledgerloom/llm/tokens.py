@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ledgerloom.session import ship
 
 #: Fixed value: how the byte-level vocabulary cuts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -177,6 +178,7 @@ def decode_stream(t: Transducer, ids: Iterable[int]) -> Iterator[str]:
 
 
 def _vocabulary(spark, path: str):
+    ship(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())  # under a megabyte, whatever the data
 
