@@ -180,7 +180,8 @@ def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, o
     """The lexicon taught by the labels, then ROUNDS times by all sentences.
 
     In each round a word is judged by what the *other* words of its sentences say, so none confirms itself.
-    Subjects count as equally frequent. The labels stay evidence.
+    A word is judged in all its sentences, also where it belongs to the frame. Subjects count as equally frequent.
+    The labels stay evidence.
     """
     table = {}
     for t, c in seeds.items():
@@ -188,19 +189,23 @@ def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, o
         p = _share(c, SMOOTH + unseen / 2)
         if p.max() >= 0.45:
             table[t] = _log_odds(p)
+    words = rows.sparkSession.sparkContext.broadcast(often)  # at most MAX_WORDS words
     for _ in range(ROUNDS):
         shared = rows.sparkSession.sparkContext.broadcast(table)  # at most MAX_WORDS words
 
         def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known, none, acc = shared.value, np.zeros(n), defaultdict(lambda: np.zeros(n + 1))
+            known, many, acc = shared.value, words.value, defaultdict(lambda: np.zeros(n + 1))
             for part in it:
-                for text, c in zip(part["terms"], part["n"]):
-                    own = text.split(" ")
-                    votes = [known.get(t, none) for t in own]
-                    total = np.sum(votes, axis=0)
-                    w = 1 + np.log(c)  # what is repeated verbatim says little more
-                    for t, v in zip(own, votes):
-                        acc[t][_subject(total - v, 0.7)] += w  # -1 is the last place: none
+                for text, c in zip(part["sentence"], part["n"]):
+                    votes = {t: known[t] for t in terms(text, many) if t in known}
+                    if not votes:
+                        continue
+                    total = np.sum(list(votes.values()), axis=0)
+                    w = 1 + math.log(c)  # what is repeated verbatim says little more
+                    said = _subject(total, 0.7)  # -1 is the last place: none
+                    for t in dict.fromkeys(text.split()):
+                        if many.get(t, 0) >= RARE and len(t) > 2:
+                            acc[t][said if t not in votes else _subject(total - votes[t], 0.7)] += w
             if acc:
                 yield pd.DataFrame({"w": list(acc), "counts": [v.tolist() for v in acc.values()]})
 
@@ -305,7 +310,7 @@ def fit_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, scratc
     common = shared_talk(scratch.save(corpus_terms(corpus, often), "terms-0"), often, documents)
     often = {w: c for w, c in often.items() if w not in common}
     seeds, _ = seed_counts(some, [d for _, d in names], n, often)
-    lexicon = grow(scratch.save(corpus_terms(corpus, often), "terms"), seeds, len(some) / max(1, documents), often, n)
+    lexicon = grow(corpus, seeds, len(some) / max(1, documents), often, n)
     sources = sorted(some["source"].dropna().unique())[:64]
     chain = Chain(n)
     if len(some):
