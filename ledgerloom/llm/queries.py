@@ -110,7 +110,24 @@ pairs AS (SELECT DISTINCT e.record_id AS e_id, t.record_id AS t_id FROM (SELECT
 WHERE coalesce({b}, false) AND coalesce({f}, false) OR e.a = t.a AND (coalesce({b}, false) AND {loose("f")} OR coalesce({f}, false) AND {loose("b")}))"""
 
 
+def _groups_sql() -> str:
+    """Rows with the least family that can be reached through shared pairs."""
+    f = "lower(replace(replace(replace(replace(project_family, chr(65295), '/'), chr(8208), '-'), chr(92), '/'), '_', '-'))"
+    f = f"regexp_replace(regexp_replace({f}, '[ ]', '', 'g'), '([.]git)?/?$', '')"
+    f = f"nullif(regexp_replace({f}, '^[^/]*[.][^/]*/([^/]+/[^/]+)$', '\\1'), '')"
+    rx = "'^r0*([0-9]+)[ _-]+pair[ _-]+0*([0-9]+)$'"
+    p = f"CASE WHEN regexp_matches(lower(trim(pair_id)), {rx}) THEN regexp_replace(lower(trim(pair_id)), {rx}, '\\1:\\2') END"
+    return f"""WITH RECURSIVE g AS MATERIALIZED (SELECT record_id, {f} AS f, {p} AS p, nullif(lower(trim(split)), '') AS split FROM r01_candidates),
+fp AS MATERIALIZED (SELECT DISTINCT f, p FROM g WHERE f IS NOT NULL AND p IS NOT NULL),
+edges AS MATERIALIZED (SELECT DISTINCT a.f AS a, b.f AS b FROM fp a JOIN fp b ON a.p = b.p AND a.f <> b.f),
+reach(f, h) AS (SELECT DISTINCT f, f FROM g WHERE f IS NOT NULL UNION SELECT r.f, e.b FROM reach r JOIN edges e ON r.h = e.a),
+roots AS (SELECT f, min(h) AS root FROM reach GROUP BY 1),
+pairs AS (SELECT p, min(f) AS f FROM fp GROUP BY 1),
+grouped AS (SELECT record_id, split, coalesce(roots.root, 'p:' || g.p, 'r:' || record_id) AS root FROM g LEFT JOIN pairs ON g.p = pairs.p LEFT JOIN roots ON coalesce(g.f, pairs.f) = roots.f)"""
+
+
 ORACLE: dict[str, str] = {
+    "p4_found": f"{_groups_sql()} SELECT record_id FROM grouped WHERE root IN (SELECT root FROM grouped GROUP BY 1 HAVING count(DISTINCT split) > 1)",
     "p1_found": f"{_overlap_sql()} SELECT least(e_id, t_id) AS record_id_a, greatest(e_id, t_id) AS record_id_b FROM pairs",
     "p1_report": f"{_overlap_sql()}, hits AS (SELECT e_id, count(*) AS n FROM pairs GROUP BY 1) SELECT lower(trim(split)) AS split, nullif(lower(trim(dataset_origin)), '') AS source, count(*) AS eval_rows, count(n) AS overlapping_rows, coalesce(sum(n), 0)::BIGINT AS pairs, round(count(n) / count(*), 6) AS overlap_share FROM r01_candidates LEFT JOIN hits ON e_id = record_id WHERE lower(trim(split)) IN ('dev_pilot', 'dev', 'time_ood_test') GROUP BY 1, 2",
 }

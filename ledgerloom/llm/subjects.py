@@ -44,6 +44,8 @@ _NAME = re.compile(r"\b\w*(?:[a-z][A-Z]|[\d_/@])\w*\b|\S*/\S*")
 
 def folded(text: str) -> str:
     """Without accents; for comparing terms."""
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
