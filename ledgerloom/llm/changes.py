@@ -60,7 +60,7 @@ def _windows() -> list[tuple[int, int, int]]:
 def _segment_keys(rows: DataFrame, places: list[tuple[int, int, int]], *keep: str) -> DataFrame:
     """(k, keep) of the segments or substrings at ``places`` of each row's revision in full, for either revision
     as the mistyped one: its key holds the anchor, the other revision, the cut string's length and the segment."""
-    at = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for s, _, _ in SIDES for d, i, t in places)))
+    at = F.explode(F.expr("array(" + ", ".join(f"named_struct('s', {s}, 'd', {d}, 'i', {i}, 't', {t})" for s, _, _ in SIDES for d, i, t in places) + ")"))
     first, of = F.col("x.s") == 0, lambda c, e: F.when(first, F.col(c)).otherwise(F.col(e))
     x = rows.filter("a IS NOT NULL AND b IS NOT NULL AND f IS NOT NULL").withColumn("x", at)
     x = x.select(*keep, F.xxhash64(F.col("x.s"), "a", F.left(of("b", "f"), F.lit(PREFIX))).alias("base"), of("f", "b").alias("r"), "x").filter(F.length("r") >= FULL)
