@@ -160,6 +160,25 @@ def shared_talk(rows: DataFrame, often: dict[str, int], documents: int) -> set[s
     return {r.w for r in words if r.n >= 0.5 * often[r.w]}
 
 
+def matter_words(corpus: DataFrame, often: dict[str, int]) -> set[str]:
+    """Words that are among the rarest of at least half of their sentences; the others belong to frames."""
+    shared = corpus.sparkSession.sparkContext.broadcast(often)  # at most MAX_WORDS words
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: Counter = Counter()
+        for part in it:
+            for s, n in zip(part["sentence"], part["n"]):
+                own = {t: shared.value[t] for t in s.split() if len(t) > 2 and shared.value.get(t, 0) >= RARE}
+                for t, c in own.items():
+                    if c <= NEAR * min(own.values()):
+                        kept[t] += n
+        if kept:
+            yield pd.DataFrame({"w": list(kept), "n": list(kept.values())})
+
+    kept = corpus.mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()  # at most MAX_WORDS
+    return {r.w for r in kept if r.n >= 0.5 * often[r.w]}
+
+
 def seed_counts(labelled: pd.DataFrame, described: list[str], n: int, often: dict[str, int]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Word counts from labelled documents (once per document, shared among its labels) and descriptions, as if all
     subjects had as many labels; and the labels per subject."""
@@ -178,7 +197,7 @@ def seed_counts(labelled: pd.DataFrame, described: list[str], n: int, often: dic
     return dict(out), labels_of
 
 
-def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, often: dict[str, int], n: int) -> Lexicon:
+def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, often: dict[str, int], matter: set[str], n: int) -> Lexicon:
     """The lexicon taught by the labels, then ROUNDS times by all sentences.
 
     In each round a word is judged by what the *other* words of its sentences say, so none confirms itself.
@@ -186,17 +205,18 @@ def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, o
     The labels stay evidence.
     """
     table = {}
+    seeds = {t: c for t, c in seeds.items() if t in matter or t not in often}
     for t, c in seeds.items():
         unseen = max(0.0, 0.75 * labelled_share * often.get(t, 0) - c.sum())  # labels that a special word should have met
         p = _share(c, SMOOTH + unseen / 2)
         if p.max() >= 0.45:
             table[t] = _log_odds(p)
-    words = rows.sparkSession.sparkContext.broadcast(often)  # at most MAX_WORDS words
+    words = rows.sparkSession.sparkContext.broadcast((often, matter))  # at most MAX_WORDS words
     for _ in range(ROUNDS):
         shared = rows.sparkSession.sparkContext.broadcast(table)  # at most MAX_WORDS words
 
         def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known, many, acc = shared.value, words.value, defaultdict(lambda: np.zeros(n + 1))
+            known, (many, judged), acc = shared.value, words.value, defaultdict(lambda: np.zeros(n + 1))
             for part in it:
                 for text, c in zip(part["sentence"], part["n"]):
                     votes = {t: known[t] for t in terms(text, many) if t in known}
@@ -206,7 +226,7 @@ def grow(rows: DataFrame, seeds: dict[str, np.ndarray], labelled_share: float, o
                     w = 1 + math.log(c)  # what is repeated verbatim says little more
                     said = _subject(total, 0.7)  # -1 is the last place: none
                     for t in dict.fromkeys(text.split()):
-                        if many.get(t, 0) >= RARE and len(t) > 2:
+                        if t in judged:
                             acc[t][said if t not in votes else _subject(total - votes[t], 0.7)] += w
             if acc:
                 yield pd.DataFrame({"w": list(acc), "counts": [v.tolist() for v in acc.values()]})
@@ -310,9 +330,10 @@ def fit_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, scratc
     corpus = scratch.save(corpus_sentences(docs), "sentences")
     often, documents = word_frequencies(corpus), docs.count()
     common = shared_talk(scratch.save(corpus_terms(corpus, often), "terms-0"), often, documents)
+    matter = matter_words(corpus, often) - common
     often = {w: c for w, c in often.items() if w not in common}
     seeds, _ = seed_counts(some, [d for _, d in names], n, often)
-    lexicon = grow(corpus, seeds, len(some) / max(1, documents), often, n)
+    lexicon = grow(corpus, seeds, len(some) / max(1, documents), often, matter, n)
     sources = sorted(some["source"].dropna().unique())[:64]
     chain = Chain(n)
     if len(some):
