@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.session import ship
+from ledgerloom.session import Scratch, ship
 
 BINS = 64
 #: The kinds of string content, tried in this order.
@@ -277,33 +277,58 @@ def schema_changes(lines: DataFrame, sketches: DataFrame | None = None) -> DataF
 # ---- projections
 
 
-def field_history(changes: list[tuple[str, str, str, str]], files: list[str], last: dict[str, str]) -> dict[str, list[tuple[int, int, str]]]:
-    """For each field of the last schema and each field that ended: (first file, last file, path then) spans."""
-    spans: dict[str, list[tuple[int, int, str]]] = {p: [] for p in last}
-    until = {p: (p, len(files) - 1) for p in last}
-    for i in range(len(files) - 1, 0, -1):
-        for _, kind, path, new in [c for c in changes if c[0] == files[i]]:
+def field_history(changes: list[tuple[str, str, str, str]], files: list[str], last: dict[str, str], held: list[set[str]]) -> dict[str, list[tuple[int, int, str, bool]]]:
+    """For each field of the last schema and each that ended or became an object: (first file, last file, path then, objects too).
+
+    ``held`` has the fields of each file that have values other than objects. One that no column reads there, as it
+    is an object later, gets a column for these values; what its objects hold in other files has columns of its own.
+    """
+    spans: dict[str, list[tuple[int, int, str, bool]]] = {p: [] for p in last}
+    until, bare = {p: (p, len(files) - 1) for p in last}, set()
+
+    def close(path: str, first: int) -> str:
+        final, end = until.pop(path)
+        spans[final].append((first, end, path, final not in bare))
+        return final
+
+    def begin(path: str, end: int) -> str:
+        final = path if path not in spans else f"{path}@{files[end]}"
+        spans[final], until[path] = [], (final, end)
+        return final
+
+    def read(path: str) -> bool:
+        above = path
+        while above := _parent(above):
+            if above in until and until[above][0] not in bare:
+                return True
+        return path in until
+
+    for i in range(len(files) - 1, -1, -1):
+        for p in sorted(held[i]):
+            if not read(p):
+                bare.add(begin(p, i))
+        for _, kind, path, new in [c for c in changes if i and c[0] == files[i]]:
             if kind == "renamed":
                 for p in [p for p in until if p == new or p.startswith((new + ".", new + "[]"))]:
-                    final, end = until.pop(p)
-                    spans[final].append((i, end, p))
+                    final = close(p, i)
                     until[path + p[len(new):]] = (final, i - 1)
             elif kind == "added" and path in until:
-                final, end = until.pop(path)
-                spans[final].append((i, end, path))
+                close(path, i)
             elif kind == "removed" and path not in until:
-                final = path if path not in spans else f"{path}@{files[i - 1]}"
-                spans[final], until[path] = [], (final, i - 1)
-    for p, (final, end) in until.items():
-        spans[final].append((0, end, p))
+                begin(path, i - 1)
+    for p in list(until):
+        close(p, 0)
     return spans
 
 
-def projection(v: Column, file_name: Column, spans: list[tuple[int, int, str]], files: list[str]) -> Column:
+def projection(v: Column, file_name: Column, spans: list[tuple[int, int, str, bool]], files: list[str]) -> Column:
     """The field's text in each file, read from where it stood then; arrays and objects as JSON."""
     out = F.lit(None).cast("string")
-    for first, end, path in spans:
-        out = F.when(file_name.between(files[first], files[end]), F.get_json_object(v, "$." + path)).otherwise(out)
+    for first, end, path, objects in spans:
+        value = F.get_json_object(v, "$." + path)
+        if not objects:
+            value = F.when(~F.schema_of_variant(F.try_variant_get(F.try_parse_json(v), "$." + path, "variant")).startswith("OBJECT"), value)
+        out = F.when(file_name.between(files[first], files[end]), value).otherwise(out)
     return out
 
 
@@ -311,15 +336,20 @@ def unified_table(lines: DataFrame, stream: str) -> DataFrame:
     """One row per readable line of the stream, one string column per field outside arrays of objects.
 
     Columns are named by the field's last path (dots as ``__``); a field that was renamed or moved is one
-    column, one that ended keeps its column. Values are as written; null where the file has no such field.
+    column, one that ended keeps its column. A field that becomes an object keeps a column for the values before;
+    the object's fields have their own. Values are as written; null where the file has no such field.
     """
     lines = lines.filter((F.col("stream") == stream) & F.col("file_name").isNotNull())
-    sketches = field_sketches(lines)
+    sketches = Scratch(lines.sparkSession, "drift").save(field_sketches(lines), "sketches")
     changes = [tuple(r)[1:] for r in schema_changes(lines, sketches).collect()]  # schemas, not records
     files = [r[0] for r in lines.select("file_name").distinct().orderBy("file_name").collect()]
     fields = _tree(sketches.filter(F.col("file_name") == files[-1]).select("path", "sketch").toPandas()) if files else {}
     leaf = {p: _type(s) for p, s in fields.items() if p and "[]" not in p and _type(s) != "object"}
-    spans = field_history([c for c in changes if "[]" not in c[2]], files, leaf)
+    valued = sketches.filter(~F.col("path").contains("[]") & F.get_json_object("sketch", "$[0]").rlike('"(?:string|number|boolean|array)"'))
+    held: dict[str, set[str]] = {f: set() for f in files}
+    for r in valued.select("file_name", "path").distinct().collect():  # schemas, not records
+        held[r.file_name].add(r.path)
+    spans = field_history([c for c in changes if "[]" not in c[2]], files, leaf, [held[f] for f in files])
     readable = F.try_parse_json("body").isNotNull() & F.col("body").rlike(r"^\s*\{")
     cols = [projection(F.col("body"), F.col("file_name"), s, files).alias(re.sub(r"\W+", "__", p)) for p, s in sorted(spans.items()) if s]
     return lines.filter(readable).select("raw_id", "file_name", "line_no", *cols)

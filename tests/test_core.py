@@ -108,6 +108,26 @@ def test_unified_table(spark):
     assert len(out) == 60 and {r.key for r in out} == {f"a-{i}" for i in range(30)} and [r.n for r in out[:3]] == ["0", "1", "2"]
 
 
+def unified(spark, *files):
+    rows = [(100 * f + i, "s", f"f{f}", i, json.dumps(b)) for f, bodies in enumerate(files) for i, b in enumerate(bodies)]
+    return drift.unified_table(spark.createDataFrame(rows, "raw_id bigint, stream string, file_name string, line_no bigint, body string"), "s").orderBy("raw_id").collect()
+
+
+def test_unified_table_scalar_and_object(spark):
+    text, obj = [{"h": "{no object"}, {"h": "b"}], [{"h": {"x": "c", "y": 1}}, {"h": {"x": "d"}}]
+    out = unified(spark, text, obj)
+    assert [(r.h, r.h__x, r.h__y) for r in out] == [("{no object", None, None), ("b", None, None), (None, "c", "1"), (None, "d", None)]
+    assert [json.loads(r.h) if r.h[0] == "{" and r.h[1] != "n" else r.h for r in unified(spark, obj, text)] == [obj[0]["h"], obj[1]["h"], "{no object", "b"]
+    assert [(r.h, r.h__x) for r in unified(spark, [{"h": [1, 2]}], obj)] == [("[1,2]", None), (None, "c"), (None, "d")]
+    # an object before and after, with another field before; a field renamed while it was text; nulls between
+    assert [(r.h, r.h__x, r.h__z) for r in unified(spark, [{"h": {"x": "a", "z": "q"}}], text, obj)] == [(None, "a", "q"), ("{no object", None, None), ("b", None, None), (None, "c", None), (None, "d", None)]
+    assert [(r.h, r.h__x) for r in unified(spark, [{"g": "two words"}], [{"h": "two words"}], obj)] == [("two words", None)] * 2 + [(None, "c"), (None, "d")]
+    assert [(r.h, r.h__x) for r in unified(spark, text, [{"h": None}], obj)] == [("{no object", None), ("b", None), (None, None), (None, "c"), (None, "d")]
+    # both in one file
+    assert [(r.h, r.h__x) for r in unified(spark, [{"h": "a"}, *obj])] == [("a", None), (None, "c"), (None, "d")]
+    assert [r.h for r in unified(spark, [{"h": "a"}, *obj], [{"k": 1}])] == ["a", '{"x":"c","y":1}', '{"x":"d"}', None]
+
+
 def test_assignment_is_least():
     import itertools
 
