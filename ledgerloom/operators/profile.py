@@ -73,6 +73,17 @@ def _tokens(columns: list[str], width: int) -> Column:
 def compressed(df: DataFrame, table: int, columns: list[str], width: int, id_col: str, load_col: str, order: DataFrame) -> DataFrame:
     """Counts of (table, rank of load, fold, tokens): the training rows, each distinct one once with its weight."""
     rows = df.select(F.lit(table).alias("tab"), F.col(load_col).alias("load"), F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int").alias("fold"), _tokens(columns, width).alias("tokens"))
+    return _ranked(rows, order)
+
+
+def compressed_alone(df: DataFrame, first: int, columns: list[str], id_col: str, load_col: str, order: DataFrame) -> DataFrame:
+    """As ``compressed``, with each column as a table of its own, numbered from ``first``: one pass, and at most LEVELS ** HASHES rows a column, load and fold."""
+    cells = F.explode(F.array(*(F.struct(F.lit(first + i).alias("tab"), _tokens([c], 1).alias("tokens")) for i, c in enumerate(columns)))).alias("x")
+    rows = df.select(F.col(load_col).alias("load"), F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int").alias("fold"), cells).select("load", "fold", "x.*")
+    return _ranked(rows, order)
+
+
+def _ranked(rows: DataFrame, order: DataFrame) -> DataFrame:
     counts = rows.groupBy("tab", "load", "fold", "tokens").agg(F.count("*").alias("n")).join(order, "load")
     loads = counts.select("load", "seq").distinct().withColumn("rank", F.row_number().over(Window.orderBy("seq", "load")))  # loads, not rows
     return counts.join(loads.select("load", "rank"), "load").select("tab", "load", "rank", "fold", "tokens", "n")
@@ -196,3 +207,43 @@ def quality_issues(tables: dict[str, tuple[DataFrame, str, str, dict[str, tuple[
             found = found.union(moved.select(F.lit(name), "column_name", F.lit("shift"), "load_id", F.lit(0).cast("bigint")))
         out = found if out is None else out.union(found)
     return out
+
+
+def column_changes(tables: dict[str, tuple[DataFrame, str, str, list[str]]], loads: DataFrame, load_key="load_id", seq_key="load_seq", least: float = 0.2) -> DataFrame:
+    """(table_name, column_name, load_id): each column and load where a value's share, null included, moved by more than ``least``.
+
+    ``tables``: name -> (rows, id column, load column, columns). Each column is told from the load before alone,
+    which is where a moved share shows. Hashed values may hide each other's moves there, so columns in which a
+    cell holds more than ``least`` of either load are looked at too: no moved share is missed. The load column
+    tells nothing but the load and goes to the exact shares only. Otherwise as ``quality_issues``.
+    """
+    spark = loads.sparkSession
+    order = loads.select(F.col(load_key).alias("load"), F.col(seq_key).alias("seq")).groupBy("load").agg(F.min("seq").alias("seq"))
+    parts, owner = [], []
+    for name, (df, id_col, load_col, columns) in tables.items():
+        told = [c for c in columns if c != load_col]
+        if told:
+            parts.append(compressed_alone(df, len(owner), told, id_col, load_col, order))
+            owner += [(name, c) for c in told]
+    empty = spark.createDataFrame([], "table_name string, column_name string, load_id string")
+    if not parts:
+        return empty
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    rows = Scratch(spark, "changes").save(rows.repartition("tab").sortWithinPartitions("tab", "rank", "fold"), "rows")
+    changed = load_changes(rows, dict.fromkeys(range(len(owner)), 1))
+    load_of = {(r.tab, r["rank"]): r.load for r in rows.select("tab", "rank", "load").distinct().collect()}  # loads times columns
+    sizes, cells = rows.groupBy("tab", "rank").agg(F.sum("n").alias("rows")), rows.groupBy("tab", "rank", "tokens").agg(F.sum("n").alias("n"))
+    heavy = {(r.tab, r["rank"]) for r in cells.join(sizes, ["tab", "rank"]).filter(F.col("n") > least * F.col("rows")).select("tab", "rank").distinct().collect()}
+    pointed = {(int(r.tab), int(r["rank"])) for _, r in changed[changed["pointed"]].iterrows()}
+    pairs = {k for k in pointed | heavy | {(t, at + 1) for t, at in heavy} if k in load_of and (k[0], k[1] - 1) in load_of}
+    out = empty
+    for name, (df, _, load_col, columns) in tables.items():
+        sus = {(owner[t][1], load_of[(t, at)], load_of[(t, at - 1)]) for t, at in pairs if owner[t][0] == name}
+        if load_col in columns:
+            sus |= {(load_col, l, load_of[(t, at - 1)]) for (t, at), l in load_of.items() if owner[t][0] == name and (t, at - 1) in load_of}
+        if sus:
+            moved = exact_shifts(df, load_col, sorted({c for c, _, _ in sus}), sorted(sus), least)
+            out = out.union(moved.select(F.lit(name), "column_name", "load_id"))
+    return out

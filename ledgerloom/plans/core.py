@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import keys as K
 from ledgerloom.operators.drift import schema_changes, unified_table
 from ledgerloom.operators.orphans import orphan_references, orphan_report
-from ledgerloom.operators.profile import base_profile, quality_issues
+from ledgerloom.operators.profile import base_profile, column_changes, quality_issues
 from ledgerloom.plans import reference
 from ledgerloom.sources.tables import load
 
@@ -61,6 +61,11 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+def p2_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between loads of every column of both tables."""
+    return column_changes({name: (df, i, l, df.columns) for name, (df, i, l, _) in _quality_tables(spark, d).items()}, load(spark, d, "registry_loads"))
+
+
 def _streams(spark: SparkSession, d: str) -> DataFrame:
     part = lambda t, s: load(spark, d, t).select(F.lit(s).alias("stream"), "raw_id", "file_name", "line_no", "body")
     return part("enrichment_raw", "enrichment").union(part("push_receipt_raw", "push_receipt"))
@@ -136,5 +141,5 @@ PROFILES = {
     "readiness_profile": _profile_sql("r01_readiness", _READINESS, {"ready": "ready NOT IN ('yes', 'no')"}),
     "candidate_profile": _profile_sql("r01_candidates", _CANDIDATE_COLUMNS, _CANDIDATE_BAD),
 }
-QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
+QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, p2_changes, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
 ORACLE = reference.ORACLE | PROFILES | ORPHANS | {"p2_found": _issues_sql()}

@@ -68,6 +68,23 @@ def test_quality_empty_and_tiny(spark):
     assert issues(spark, [(1, "L1", "yes", None, None), (2, "L2", "no", None, None)], {"v": ("", "yes|no")}) == {("t", "v", "shift", "L2", 0)}
 
 
+def test_column_changes_of_all_columns(spark):
+    loads = spark.createDataFrame([("l1", 1), ("l2", 2), ("l3", 3)], "load_id string, load_seq int")
+    # two values that the classifier can't tell apart: both hashes are the same
+    same = spark.range(20000).select(F.col("id").cast("string").alias("v")).groupBy(profile._tokens(["v"], 1)).agg(F.collect_list("v").alias("v")).filter(F.size("v") > 1).head()["v"]
+    l = F.concat(F.lit("l"), (F.col("id") % 3 + 1).cast("string"))
+    df = spark.range(60000).select("id", l.alias("load_id"), F.when((l != "l2") | (F.col("id") % 10 < 3), "x").alias("gaps"), F.when(l == "l3", same[0]).otherwise(same[1]).alias("alike"), (F.col("id") % 7).alias("still"), F.timestamp_seconds("id").alias("at"))
+    changes = lambda d: sorted(tuple(r) for r in profile.column_changes({"t": (d, "id", "load_id", d.columns)}, loads).collect())
+    assert changes(df) == [("t", "alike", "l3"), ("t", "gaps", "l2"), ("t", "gaps", "l3"), ("t", "load_id", "l2"), ("t", "load_id", "l3")]
+    assert changes(df.filter("load_id != 'l2'")) == [("t", "alike", "l3"), ("t", "load_id", "l3")] and changes(df.limit(0)) == []
+
+
+def test_changes_query_is_registered():
+    import __spark_entry__ as e
+
+    assert {"p2_found", "p2_profile", "p2_changes"} <= set(e.queries())
+
+
 def test_base_profile(spark):
     df = spark.createDataFrame([(1, "L1", "a"), (2, "L1", "a"), (3, "L1", None), (4, "L1", "B")], "id bigint, load string, v string")
     r = profile.base_profile(df, "t", ["v"], {"v": ("", "[a-z]")}, "id", "load").collect()
