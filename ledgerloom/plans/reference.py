@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import canonical as C
+from ledgerloom.functions import keys as K
 from ledgerloom.functions import predicates as P
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators import sequence as S
@@ -497,6 +498,25 @@ def leakage_commits(spark, d):
     return hits.join(secrets, "c", "left_semi").select("doc_id", F.sha2("c", 256).alias("secret_sha")).distinct()
 
 
+@query()
+def leakage_revisions(spark, d):
+    """(doc_id, secret_sha): every protected revision that a text writes, in full or abbreviated to 8 characters or more.
+
+    Protected are both revisions of the candidates and both commits of the catalog, without their wrapping. Runs of
+    hex digits and of letters and digits are cut out of the text, equi-joined on 8 characters and verified. Null
+    texts and absent revisions give nothing; a commit that a text repeats comes out once.
+    """
+    c, k = load(spark, d, "r01_candidates"), load(spark, d, "case_catalog")
+    cores = [t.select(K.revision_core(COL(x)).alias("core")) for t, x in ((c, "buggy_revision"), (c, "fixed_revision"), (k, "repository.vulnerable_commit"), (k, "repository.fixed_commit"))]
+    secrets = cores[0].union(cores[1]).union(cores[2]).union(cores[3]).filter(F.length("core") >= 8).distinct()
+    text = K.fold(COL("text"))
+    runs = F.array_union(F.regexp_extract_all(text, F.lit("([0-9a-f]{8,})"), F.lit(1)), F.regexp_extract_all(text, F.lit("([0-9a-z]*[0-9][0-9a-z]*)"), F.lit(1)))
+    hits = load(spark, d, "documents").select("doc_id", F.explode(runs).alias("c")).filter(F.length("c") >= 8).distinct()
+    key = lambda x: F.left(x, F.lit(8)).alias("k")
+    found = hits.select("doc_id", "c", key(COL("c"))).join(secrets.select("core", key(COL("core"))), "k").filter(K.agree(COL("c"), COL("core")))
+    return found.select("doc_id", F.sha2("core", 256).alias("secret_sha")).distinct()
+
+
 @query("SELECT DISTINCT record_id FROM r01_candidates WHERE lower(trim(project_family)) IN (SELECT lower(trim(repository.upstream_id)) FROM case_catalog)")
 def leakage_exact(spark, d):
     key = load(spark, d, "case_catalog").select(F.lower(F.trim("repository.upstream_id")).alias("k"))

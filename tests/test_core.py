@@ -296,3 +296,17 @@ def test_intervals_across_buckets(spark):
     df = spark.createDataFrame(rows, "k string, s bigint, e bigint, t bigint")
     got = lambda span: sorted(map(tuple, sequence.merged_intervals(df, ["k"], "s", "e", "t", span).collect()))
     assert got(7) == got(500) == got(10**9) and sum(x[3] for x in got(7)) == 400
+
+
+def test_leakage_revisions(spark, tmp_path):
+    import hashlib
+
+    from ledgerloom.plans import reference
+
+    a, b, c, e = (hashlib.sha1(x.encode()).hexdigest() for x in "abce")
+    spark.createDataFrame([(f"git:{a.upper()}", f"'{b}'"), ("unknown", None)], "buggy_revision string, fixed_revision string").write.parquet(str(tmp_path / "r01_candidates.parquet"))
+    spark.createDataFrame([((f"https://h.example/o/n/commit/{c}", f"commit \u200b{e}"),)], "repository struct<vulnerable_commit string, fixed_commit string>").write.parquet(str(tmp_path / "case_catalog.parquet"))
+    texts = [(1, f"see {a[:8]}."), (2, f"at {b} and {b[:12]}"), (3, f"URL/{c[:9].upper()}"), (4, f"v1-3-g{e[:10]}"), (5, a[:7]), (6, a[:8] + ("1" if a[8] != "1" else "2") * 4), (7, None), (8, "unknown")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted(map(tuple, reference.leakage_revisions(spark, str(tmp_path)).collect())) == [(1, sha(a)), (2, sha(b)), (3, sha(c)), (4, sha(e))]
