@@ -52,14 +52,13 @@ def _last_at_or_before(starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: n
 def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     if refs.empty:
         return pd.DataFrame({"ref_id": pd.Series(dtype="int64"), "ref_column": pd.Series(dtype=str), "reason": pd.Series(dtype=str), "at": pd.Series(dtype="datetime64[ns]")})
-    have = np.array([k.encode() for k in parents["key"]], dtype="S80") if len(parents) else np.empty(0, dtype="S80")
+    have, want = (np.array([k.encode() for k in t["key"]], dtype=bytes) for t in (parents, refs))  # as wide as the longest key
     starts, ends = parents["begins"].to_numpy("int64"), parents["ends"].to_numpy("int64")
     order = np.lexsort((starts, have))
     have, starts, ends = have[order], starts[order], ends[order]
     new = np.r_[True, have[1:] != have[:-1]] if len(have) else np.empty(0, bool)
     group = np.cumsum(new)
     latest = pd.Series(ends).groupby(group).cummax().to_numpy() if len(have) else ends
-    want = np.array([k.encode() for k in refs["key"]], dtype="S80")
     lo, hi = np.searchsorted(have, want, "left"), np.searchsorted(have, want, "right")
     at = refs["micros"].to_numpy("int64")
     begun = _last_at_or_before(starts, lo, hi, at) if len(have) else np.zeros(len(want), "int64")

@@ -31,6 +31,12 @@ def test_orphans_empty(spark):
     assert found(spark, [], [("p", "a", T(1), None)]) == []
 
 
+def test_orphans_long_keys_differ_in_the_last_byte(spark):
+    for n in (63, 64, 65):
+        for column in ("local_catalog_key", "a_column_with_a_very_long_name_" * 3):
+            assert found(spark, [(1, column, "k" * (n - 1) + "a", T(9)), (2, column, "k" * (n - 1) + "b", T(9))], [(column, "k" * (n - 1) + "a", T(1), None)]) == [(2, column, "missing")]
+
+
 def test_orphans_hot_key_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(orphans, "PER_CHUNK", 50)
     monkeypatch.setattr(orphans, "PER_RANGE", 20)
