@@ -148,6 +148,9 @@ def test_unified_table_scalar_and_object(spark):
     assert [(r.h, r.h__x) for r in unified(spark, text, [{"h": None}], obj)] == [("{no object", None), ("b", None), (None, None), (None, "c"), (None, "d")]
     # both in one file
     assert [(r.h, r.h__x) for r in unified(spark, [{"h": "a"}, *obj])] == [("a", None), (None, "c"), (None, "d")]
+    # renamed together with its object: kept, in a column of its own
+    kept = unified(spark, [{"one_info": {"label": "two words", "n": 1, "m": 2, "q": 3}}], [{"one_data": {"title": "two words", "n": 1, "m": 2, "q": 3}}])
+    assert [(r.one_info__label, r.one_data__title, r.one_data__n) for r in kept] == [("two words", None, "1"), (None, "two words", "1")]
     assert [r.h for r in unified(spark, [{"h": "a"}, *obj], [{"k": 1}])] == ["a", '{"x":"c","y":1}', '{"x":"d"}', None]
 
 
