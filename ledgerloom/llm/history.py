@@ -25,7 +25,7 @@ class AcceptedIndex:
         self.name, self.empty = f"accepted_{uuid.uuid4().hex}", True
 
     def probe(self, keys: DataFrame) -> DataFrame:
-        """Accepted rows (k, id, a, b, f) that share a key with ``keys``; only the buckets of these keys are matched."""
+        """Accepted rows (k, id, a, b, f) that share a key with ``keys``. All buckets are scanned; none is shuffled."""
         return self.spark.table(self.name).join(keys.select("k").distinct().hint("shuffle_hash"), "k", "left_semi")
 
     def append(self, rows: DataFrame) -> None:
