@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.session import Scratch
@@ -37,9 +38,10 @@ def malformed(value: Column, form: tuple[str, str]) -> Column:
     return value.isNotNull() & ~F.concat(F.lit(prefix), value).rlike(rf"\A(?:{rx})\z")
 
 
-def base_profile(df: DataFrame, table: str, columns: list[str], forms: dict[str, tuple[str, str]], id_col: str, load_col: str) -> DataFrame:
-    """Per column: rows, nulls, null rate, distinct non-null values, least and greatest text, malformed values.
+def base_profile(df: DataFrame, table: str, columns: list[str], forms: dict[str, tuple[str, str]], id_col: str, load_col: str, as_text: bool = False) -> DataFrame:
+    """Per column: rows, nulls, null rate, distinct non-null values, least and greatest value as text, malformed values.
 
+    Least and greatest are by the order of numbers and times for such columns, of the text for others or all (``as_text``).
     Exact. Values are counted once each with map-side combining, so a frequent value is no hot task. An empty
     table gives no rows.
     """
@@ -56,7 +58,14 @@ def base_profile(df: DataFrame, table: str, columns: list[str], forms: dict[str,
         F.max("value").alias("greatest"),
         F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("n_malformed"),
     )
-    return out.withColumn("null_rate", F.round(F.col("n_null") / F.col("n_rows"), 6))
+    out = out.withColumn("null_rate", F.round(F.col("n_null") / F.col("n_rows"), 6))
+    ordered = [] if as_text else [c for c in columns if isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if not ordered:
+        return out
+    ends = df.select(F.array(*(F.struct(F.lit(c).alias("column_name"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")) for c in ordered)).alias("x")).select(F.inline("x"))
+    pick = lambda own, text: F.when(F.col("column_name").isin(ordered), F.col(own)).otherwise(F.col(text)).alias(text)
+    picked = {"least": pick("low", "least"), "greatest": pick("high", "greatest")}
+    return out.join(ends, "column_name", "left").select(*(picked.get(c, F.col(c)) for c in out.columns))
 
 
 def _tokens(columns: list[str], width: int) -> Column:

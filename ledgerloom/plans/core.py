@@ -129,8 +129,8 @@ _CANDIDATE_COLUMNS = ["record_id", "pair_id", "project_family", "dataset_origin"
 
 
 def candidate_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Base aggregates of the candidate table's columns but for times."""
-    return base_profile(load(spark, d, "r01_candidates"), "r01_candidates", _CANDIDATE_COLUMNS, CANDIDATE_FORMS, "record_id", "load_id")
+    """Base aggregates of the candidate table's columns but for times; ranges by text, as in the SQL."""
+    return base_profile(load(spark, d, "r01_candidates"), "r01_candidates", _CANDIDATE_COLUMNS, CANDIDATE_FORMS, "record_id", "load_id", as_text=True)
 
 
 ORPHANS = {

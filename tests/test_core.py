@@ -97,6 +97,13 @@ def test_base_profile(spark):
     assert [(x.n_rows, x.n_null, x.n_distinct, x.least, x.greatest, x.n_malformed, x.null_rate) for x in r] == [(4, 1, 2, "B", "a", 1, 0.25)]
 
 
+def test_base_profile_ranges_by_type(spark):
+    df = spark.createDataFrame([(i, "L1", float(-i) if i % 2 else None, str(i), T(1, 5), None) for i in (9, 10, 100, 101)], "id bigint, load string, x double, s string, at timestamp, none int")
+    got = lambda d, **k: {r.column_name: (r.least, r.greatest) for r in profile.base_profile(d, "t", ["id", "x", "s", "at", "none"], {}, "id", "load", **k).collect()}
+    assert got(df) == {"id": ("9", "101"), "x": ("-101.0", "-9.0"), "s": ("10", "9"), "at": ("2026-01-01 05:00:00",) * 2, "none": (None, None)}
+    assert got(df, as_text=True)["id"] == ("10", "9") and got(df.limit(0)) == {}
+
+
 def changes(spark, *files_):
     rows = [("s", f"f{i:02}", json.dumps(b) if isinstance(b, dict) else b) for i, bodies in enumerate(files_) for b in bodies]
     df = spark.createDataFrame(rows, "stream string, file_name string, body string")
