@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
+from ledgerloom.session import remembered
 
 EDITS = 2
 FULL = 36
@@ -27,6 +28,7 @@ def canonical(df: DataFrame, id_col: str, anchor: Column, buggy: str, fixed: str
     return df.select(F.col(id_col).alias("id"), anchor.alias("a"), K.revision_core(F.col(buggy)).alias("b"), K.revision_core(F.col(fixed)).alias("f"), *extra)
 
 
+@remembered
 def can_match(a: str = "a", b: str = "b", f: str = "f") -> Column:
     """A row can state the same change as another only with both revisions, or with the anchor and one of them."""
     return (F.col(b).isNotNull() & F.col(f).isNotNull()) | (F.col(a).isNotNull() & F.coalesce(F.col(b), F.col(f)).isNotNull())
@@ -40,11 +42,26 @@ def _key(kind: int, *parts: Column) -> Column:
     return F.when(ok, F.xxhash64(F.lit(kind), *parts))
 
 
+@remembered
+def signature() -> Column:
+    """Minwise signature of the record as a set of up to three tokens (anchor, buggy prefix, fixed prefix): their hashes.
+
+    The hash family ranks tokens by kind first and hash second, with the kinds in each of three rotations, so three
+    tokens are the whole signature and nothing is left to chance.
+    """
+    tokens = (F.col("a"), F.left("b", F.lit(PREFIX)), F.left("f", F.lit(PREFIX)))
+    return F.array(*(F.when(t.isNotNull(), F.xxhash64(F.lit(i), t)) for i, t in enumerate(tokens)))
+
+
+@remembered
 def band_keys() -> Column:
-    """The record as a set of up to three tokens (anchor, buggy prefix, fixed prefix): its bottom-2 minwise sketch
-    under three orders of the token kinds. Records that state the same change share two tokens, hence a key."""
-    b8, f8 = F.left("b", F.lit(PREFIX)), F.left("f", F.lit(PREFIX))
-    return F.array_compact(F.array(_key(0, b8, f8), _key(1, F.col("a"), b8), _key(2, F.col("a"), f8)))
+    """Of column ``sig``, one band per rotation of the kinds: the two least tokens of the signature, hashed. Records that state the same
+    change share two tokens, which are the two least under some rotation, so they share a key."""
+    bands, sig = [], F.col("sig")
+    for r in range(3):
+        least = F.array_compact(F.array(*(sig[(r + i) % 3] for i in range(3))))
+        bands.append(F.when(F.size(least) >= 2, F.xxhash64(F.least(least[0], least[1]), F.greatest(least[0], least[1]))))
+    return F.array_distinct(F.array_compact(F.array(*bands)))
 
 
 def _windows() -> list[tuple[int, int, int]]:
@@ -57,32 +74,42 @@ def _windows() -> list[tuple[int, int, int]]:
     return out
 
 
+SIDES = ((0, "b", "f"), (1, "f", "b"))
+
+
+@remembered
+def _segment_steps(places: tuple[tuple[int, int, int], ...]) -> tuple[Column, ...]:
+    at = F.expr("explode(array(" + ", ".join(f"named_struct('s', {s}, 'd', {d}, 'i', {i}, 't', {t})" for s, _, _ in SIDES for d, i, t in places) + "))").alias("x")
+    base = F.expr(f"xxhash64(x.s, a, left(if(x.s = 0, b, f), {PREFIX})) AS base")
+    cut = f"floor(n / {EDITS + 1})"
+    longer = f"({EDITS + 1} - n % {EDITS + 1})"  # segments from this one on are a character longer
+    start = F.expr(f"i * {cut} + greatest(0, i - {longer}) + t AS start")
+    return at, base, F.expr("if(x.s = 0, f, b) AS r"), start, F.expr(f"{cut} + int(i >= {longer}) AS size"), F.expr("xxhash64(40, base, n, i, substring(r, int(start + 1), int(size))) AS k")
+
+
 def _segment_keys(rows: DataFrame, places: list[tuple[int, int, int]], *keep: str) -> DataFrame:
     """(k, keep) of the segments or substrings at ``places`` of each row's revision in full, for either revision
     as the mistyped one: its key holds the anchor, the other revision, the cut string's length and the segment."""
-    at = F.explode(F.expr("array(" + ", ".join(f"named_struct('s', {s}, 'd', {d}, 'i', {i}, 't', {t})" for s, _, _ in SIDES for d, i, t in places) + ")"))
-    first, of = F.col("x.s") == 0, lambda c, e: F.when(first, F.col(c)).otherwise(F.col(e))
-    x = rows.filter("a IS NOT NULL AND b IS NOT NULL AND f IS NOT NULL").withColumn("x", at)
-    x = x.select(*keep, F.xxhash64(F.col("x.s"), "a", F.left(of("b", "f"), F.lit(PREFIX))).alias("base"), of("f", "b").alias("r"), "x").filter(F.length("r") >= FULL)
-    x = x.select(*keep, "base", "r", (F.length("r") - F.col("x.d")).alias("n"), F.col("x.i").alias("i"), F.col("x.t").alias("t"))
-    longer = F.lit(EDITS + 1) - F.col("n") % (EDITS + 1)  # segments from this one on are a character longer
-    base = F.floor(F.col("n") / (EDITS + 1)).cast("int")
-    x = x.select("*", (F.col("i") * base + F.greatest(F.lit(0), F.col("i") - longer) + F.col("t")).alias("start"), (base + (F.col("i") >= longer).cast("int")).alias("size"))
-    x = x.filter((F.col("n") >= FULL) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.length("r")))
-    return x.select(F.xxhash64(F.lit(40), "base", "n", "i", F.substring("r", F.col("start") + 1, F.col("size"))).alias("k"), *keep)
+    at, base, r, start, size, k = _segment_steps(tuple(places))
+    x = rows.filter("a IS NOT NULL AND b IS NOT NULL AND f IS NOT NULL").select("*", at)
+    x = x.select(*keep, base, r, "x").filter(f"length(r) >= {FULL}").selectExpr(*keep, "base", "r", "length(r) - x.d AS n", "x.i AS i", "x.t AS t")
+    x = x.select("*", start, size).filter(f"n >= {FULL} AND start >= 0 AND start + size <= length(r)")
+    return x.select(k, *keep)
 
 
-SIDES = ((0, "b", "f"), (1, "f", "b"))
-
-
-def _plain_keys(rows: DataFrame, absent: int, present: int | None, *keep: str) -> DataFrame:
-    """(k, keep) for agreement of both revisions, and of one where the other is absent on this side or the other."""
+@remembered
+def _plain(absent: int, present: int) -> Column:
     out = [_key(10, F.left("b", F.lit(PREFIX)), F.left("f", F.lit(PREFIX)))]
     for s, same, other in SIDES:
         g = F.left(same, F.lit(PREFIX))
         out.append(F.when(F.col(other).isNull(), _key(absent + s, F.col("a"), g)))
         out.append(_key(present + s, F.col("a"), g) if absent > present else F.when(F.col(other).isNotNull(), _key(present + s, F.col("a"), g)))
-    return rows.select(F.explode(F.array_compact(F.array(*out))).alias("k"), *keep)
+    return F.explode(F.array_compact(F.array(*out))).alias("k")
+
+
+def _plain_keys(rows: DataFrame, absent: int, present: int, *keep: str) -> DataFrame:
+    """(k, keep) for agreement of both revisions, and of one where the other is absent on this side or the other."""
+    return rows.select(_plain(absent, present), *keep)
 
 
 def cut_keys(rows: DataFrame, *keep: str) -> DataFrame:
@@ -95,16 +122,20 @@ def window_keys(rows: DataFrame, *keep: str) -> DataFrame:
     return _plain_keys(rows, 30, 20, *keep).union(_segment_keys(rows, _windows(), *keep))
 
 
-def verified_pairs(cut: DataFrame, windowed: DataFrame, also: Column | None = None) -> DataFrame:
-    """(cut_id, windowed_id, + windowed's ``mark``) of rows that state the same change, each pair once.
+@remembered
+def _states_the_same() -> Column:
+    return K.same_change(*(F.col(f"{side}.{c}") for side in "cw" for c in "abf"))
+
+
+def verified_pairs(cut: DataFrame, windowed: DataFrame, also: str = "true", within: tuple[str, ...] = ()) -> DataFrame:
+    """(cut_id, windowed_id, within) of rows that state the same change, each pair once.
 
-    ``cut`` has (id, a, b, f), ``windowed`` the same and ``mark``; ``also`` is a further condition on the
-    columns of ``c`` and ``w``. A pair is only made for an equal key; AQE splits hot keys.
+    Both sides have (id, a, b, f), ids being unique on a side, and the columns ``within``, in which a pair must agree.
+    ``also`` is a further condition on ``cut_id`` and ``windowed_id``. A pair is only made for an equal key; AQE
+    splits hot keys. Keys travel with the id alone; the rows are joined to the few candidates and verified there.
     """
-    c = cut_keys(cut.withColumn("c", F.struct("id", "a", "b", "f")), "c")
-    w = window_keys(windowed.withColumn("w", F.struct("id", "a", "b", "f", "mark")), "w")
-    col = F.col
-    cond = K.same_change(col("c.a"), col("c.b"), col("c.f"), col("w.a"), col("w.b"), col("w.f"))
-    if also is not None:
-        cond = cond & also
-    return c.join(w, "k").filter(cond).select(col("c.id").alias("cut_id"), col("w.id").alias("windowed_id"), col("w.mark").alias("mark")).distinct()
+    c = cut_keys(cut, "id", *within).withColumnRenamed("id", "cut_id")
+    w = window_keys(windowed, "id", *within).withColumnRenamed("id", "windowed_id")
+    pairs = c.join(w, ["k", *within]).filter(also).select("cut_id", "windowed_id", *within).distinct()
+    pairs = pairs.join(cut.selectExpr("id AS cut_id", "struct(a, b, f) AS c"), "cut_id").join(windowed.selectExpr("id AS windowed_id", "struct(a, b, f) AS w"), "windowed_id")
+    return pairs.filter(_states_the_same()).select("cut_id", "windowed_id", *within)

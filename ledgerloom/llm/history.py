@@ -2,113 +2,197 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
 from ledgerloom.llm import changes as C
-from ledgerloom.session import Scratch
+from ledgerloom.session import Scratch, exists, parallelism
+
+#: Keys of a probe that are sent along as literals, at most, so that Spark opens their buckets only. More keys than
+#: that lie in all buckets anyway and are joined bucket by bucket. Live links that one task settles at once, at most.
+LITERAL_KEYS, LOCAL_LINKS = 256, 200_000
+#: Index rows that a bucket should hold, when the number of buckets is chosen from the data.
+PER_BUCKET = 1_000_000
+COLUMNS = "k BIGINT, id BIGINT, sig ARRAY<BIGINT>, a STRING, b STRING, f STRING"
 
 
 class AcceptedIndex:
-    """Band keys of all accepted records with their signatures, hash-partitioned by key into ``buckets``.
+    """Band keys of all accepted records with their signatures, hash-partitioned by key into buckets, in a folder.
 
-    A record's signature is its bottom-3 minwise sketch, which for three tokens is the tokens themselves, kept
-    in full so that similarity is verified exactly. The table is bucketed: a probe shuffles the batch's keys to
-    the buckets and never the history.
+    The folder outlives the session: ``open`` finds it again with its number of buckets. One partition per batch, so
+    appending a batch leaves the old files as they are, and a batch that is appended again replaces itself. Rows are
+    sorted by key in their files. A probe never shuffles the index, and opens only the buckets its keys fall into.
     """
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int = 16):
-        self.spark, self.buckets, self.path = spark, buckets, scratch.path("index")
-        self.name, self.empty = f"accepted_{uuid.uuid4().hex}", True
-
-    def probe(self, keys: DataFrame) -> DataFrame:
-        """Accepted rows (k, id, a, b, f) that share a key with ``keys``. All buckets are scanned; none is shuffled."""
-        return self.spark.table(self.name).join(keys.select("k").distinct().hint("shuffle_hash"), "k", "left_semi")
-
-    def append(self, rows: DataFrame) -> None:
-        """Add the keys of accepted rows (id, a, b, f); the new rows go to their buckets, old files stay as they are."""
-        rows = rows.select(F.explode(C.band_keys()).alias("k"), "id", "a", "b", "f").repartition(self.buckets, "k")
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "k").option("path", self.path).saveAsTable(self.name)
+    def __init__(self, spark: SparkSession, path: str, generation: int, buckets: int):
+        self.spark, self.path, self.generation, self.buckets = spark, path, generation, buckets
+        self.name = f"accepted_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{generation}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}, batch BIGINT) USING parquet PARTITIONED BY (batch) CLUSTERED BY (k) SORTED BY (k) INTO {buckets} BUCKETS LOCATION '{path}/keys-{generation}'")
+        self.empty = not exists(spark, f"{path}/keys-{generation}")
+        if not self.empty:  # the batches that other sessions have written
+            spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, rows: int | None = None, buckets: int | None = None) -> AcceptedIndex:
+        """The index in ``path``; a new one has ``buckets``, or as many as ``rows`` records need."""
+        if exists(spark, f"{path}/generations"):
+            generation, kept = spark.read.parquet(f"{path}/generations").orderBy(F.desc("generation")).head()
+        else:
+            generation, kept = 0, buckets or max(parallelism(spark), math.ceil(3 * (rows or 0) / PER_BUCKET))
+            cls._note(spark, path, generation, kept)
+        return cls(spark, path, generation, kept)
+
+    @staticmethod
+    def _note(spark: SparkSession, path: str, generation: int, buckets: int) -> None:
+        spark.createDataFrame([(generation, buckets)], "generation int, buckets int").coalesce(1).write.mode("append").parquet(f"{path}/generations")
+
+    def _table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def probe(self, keys: DataFrame, n: int | None = None) -> DataFrame:
+        """Accepted rows (k, id, a, b, f) that share a key with ``keys`` (k), of which there are ``n`` if known.
+
+        Few keys are put into the scan's filter: other buckets aren't opened, and row groups without them are
+        skipped. Many keys are shuffled to the buckets and joined there.
+        """
+        rows = self._table().select("k", "id", "a", "b", "f")
+        if n is not None and n <= LITERAL_KEYS:
+            return rows.filter(F.col("k").isin([r.k for r in keys.select("k").distinct().collect()]))  # at most LITERAL_KEYS
+        return rows.join(keys.select("k").distinct().hint("shuffle_hash"), "k", "left_semi")
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        """Write the keys of the accepted rows (id, a, b, f) of ``batch``, in place of what was written for it before."""
+        rows = rows.withColumn("sig", C.signature())
+        rows = rows.select(F.explode(C.band_keys()).alias("k"), "id", "sig", "a", "b", "f").repartition(self.buckets, "k")
+        rows.createOrReplaceTempView(f"{self.name}_new")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = {batch}) SELECT * FROM {self.name}_new")
+        self.spark.catalog.dropTempView(f"{self.name}_new")
         self.empty = False
 
-    def drop(self) -> None:
+    def ids(self) -> DataFrame:
+        """(id) of the accepted rows that can match others."""
+        return self._table().select("id")
+
+    def compact(self, buckets: int | None = None) -> AcceptedIndex:
+        """The index with one file per bucket, as a new generation; for now and then, when batches have left many
+        small files or the buckets have grown. The old generation stays until it is deleted."""
+        new = AcceptedIndex(self.spark, self.path, self.generation + 1, buckets or self.buckets)
+        self._table().drop("batch").repartition(new.buckets, "k").createOrReplaceTempView(f"{new.name}_new")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {new.name} PARTITION (batch = -1) SELECT * FROM {new.name}_new")
+        self._note(self.spark, self.path, new.generation, new.buckets)
+        self.close()
+        return AcceptedIndex.open(self.spark, self.path)
+
+    def close(self) -> None:
+        """Forget the session's name for the folder; the folder stays."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def settled(earlier: np.ndarray, later: np.ndarray) -> list[int]:
+    """Ids that are cases: taken in order of id, a row is one when an earlier row that is linked to it is none."""
+    cases: set[int] = set()
+    for i in np.lexsort((earlier, later)):
+        if earlier[i] not in cases:
+            cases.add(int(later[i]))
+    return sorted(cases)
+
+
+def _banded(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.withColumn("sig", C.signature()).select("id", *keep, F.explode(C.band_keys()).alias("k"))
+
+
+def links_within(rows: DataFrame) -> DataFrame:
+    """(batch, earlier, later) of rows (id, a, b, f, batch) of one batch that state the same change.
+
+    Only rows with a band key that occurs twice in their batch are joined by segments.
+    """
+    keys = _banded(rows, "batch")
+    shared = keys.groupBy("batch", "k").agg(F.count("*").alias("x")).filter("x > 1").select("batch", "k")
+    pool = rows.join(keys.join(shared, ["batch", "k"], "left_semi").select("id"), "id", "left_semi")
+    return C.verified_pairs(pool, pool, "windowed_id < cut_id", ("batch",)).selectExpr("batch", "windowed_id AS earlier", "cut_id AS later")
+
+
 class BatchDeduplicator:
-    """Decides batches one after another; ``process`` returns the rows of a batch that add nothing.
+    """Decides batches one after another against an index; ``process`` accepts what isn't a case.
 
-    Within a batch, rows are taken by id: a row is a case when it states the same change as a row accepted
-    before it. The greedy choice is resolved in rounds over the batch's own links only.
+    Within a batch, rows are taken by id: a row is a case when it states the same change as a row accepted before
+    it. Ids are unique. The greedy choice is settled over the batch's own links only: links of settled rows are
+    taken away in rounds until the live ones fit one task.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int = 16):
-        self.spark, self.scratch = spark, Scratch(spark, "history")
-        self.index = AcceptedIndex(spark, self.scratch, buckets)
-        self.n = 0
-
-    def process(self, batch: DataFrame) -> DataFrame:
-        """Cases (id) of a batch of (id, a, b, f); what isn't a case is accepted and indexed."""
-        self.n, save = self.n + 1, lambda df, name: self.scratch.save(df, f"{name}-{self.n}")
-        batch = batch.filter(C.can_match()).select("id", "a", "b", "f")  # other rows match nothing, ever
-        keys = batch.select("id", F.explode(C.band_keys()).alias("k"))
-        seen = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-        old = None
+    def __init__(self, spark: SparkSession, index: AcceptedIndex):
+        self.spark, self.index, self.scratch = spark, index, Scratch(spark, "history")
+
+    def process(self, batch: DataFrame, number: int) -> None:
+        """Accept the rows of a batch of (id, a, b, f) that add something.
+
+        The copies of a row that can match state its change, so the first of them stands for all. Rows that can't
+        match are accepted and stay out of the index, as no row will ever match them.
+        """
+        first, n = self.scratch.save_counted(batch.filter(C.can_match()).groupBy("a", "b", "f").agg(F.min("id").alias("id")), "first")
+        links, live = self.scratch.save_counted(links_within(first.withColumn("batch", F.lit(number))), "within")
+        self.decide(first, number, n, links.select("earlier", "later"), live)
+        self.scratch.drop("first", "within")
+
+    def decide(self, batch: DataFrame, number: int, n: int, links: DataFrame, live: int) -> None:
+        """As ``process``, for ``n`` rows of which none are copies, with their ``live`` links (earlier, later)."""
+        repeated = None
         if not self.index.empty:
-            old = save(self.index.probe(keys), "old")
-            seen = seen.union(old.select("k"))
-        ids = keys.join(seen.distinct(), "k", "left_semi").select("id").distinct()
-        whole = F.concat_ws("|", *(F.coalesce(c, F.lit("~")) for c in ("a", "b", "f")))
-        suspects = save(batch.join(ids, "id", "left_semi").withColumn("whole", whole), "suspects")
-        # copies of a row that can match state its change: the first stands for all
-        first = suspects.groupBy("whole").agg(F.min("id").alias("id")).select("id")
-        pool = suspects.drop("whole").join(first, "id", "left_semi").withColumn("mark", F.lit(False))
-        if old is not None:
-            pool = pool.unionByName(old.select("id", "a", "b", "f").distinct().withColumn("mark", F.lit(True)))
-        pool = save(pool, "pool")
-        own = pool.filter("NOT mark").drop("mark")
-        links = C.verified_pairs(own, pool, F.col("w.mark") | (F.col("w.id") < F.col("c.id")))
-        links = save(links.select(F.col("windowed_id").alias("earlier"), F.col("cut_id").alias("later"), "mark"), "links")
-        copies = suspects.select("id").join(own.select("id"), "id", "left_anti")
-        repeated = links.filter("mark").select(F.col("later").alias("id")).distinct()
-        cases = save(self._rounds(links.filter("NOT mark").select("earlier", "later"), repeated).union(copies), "cases")
-        self.index.append(batch.join(cases, "id", "left_anti"))
-        self.scratch.drop(*(f"{x}-{self.n}" for x in ("old", "suspects", "pool", "links")))
-        return cases
-
-    def _rounds(self, links: DataFrame, cases: DataFrame) -> DataFrame:
-        """Rows with no live earlier link are accepted, their later links are cases; until no link is live."""
-        live = lambda e, dead: e.join(dead.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(dead.withColumnRenamed("id", "later"), "later", "left_anti")
-        links, n = self.scratch.save_counted(live(links, cases), f"live-{self.n}-0")
+            keys = _banded(batch)
+            old = self.scratch.save(self.index.probe(keys, 3 * n), "old")
+            suspects = batch.join(keys.join(old.select("k"), "k", "left_semi").select("id"), "id", "left_semi")
+            repeated = self.scratch.save(C.verified_pairs(suspects, old.dropDuplicates(["id"])).select(F.col("cut_id").alias("id")).distinct(), "repeated")
+        cases = self._cases(links, live, repeated)
+        self.index.append(batch if cases is None else batch.join(cases, "id", "left_anti"), number)
+        self.scratch.drop("old", "repeated", "live", "dead")
+
+    def _cases(self, links: DataFrame, live: int, cases: DataFrame | None) -> DataFrame | None:
+        without = lambda e, dead: e if dead is None else e.join(dead.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(dead.withColumnRenamed("id", "later"), "later", "left_anti")
         k = 0
-        while n:
-            k += 1
-            accepted = links.select("earlier").distinct().join(links.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
-            dead = self.scratch.save(links.join(accepted, "earlier", "left_semi").select(F.col("later").alias("id")).distinct(), f"dead-{self.n}-{k}")
-            cases = cases.union(dead)
-            links, n = self.scratch.save_counted(live(links, dead), f"live-{self.n}-{k}")
-        return cases
+        while live > LOCAL_LINKS:  # rows without a live earlier link are accepted, the rows linked to them are cases
+            links, live = self.scratch.save_counted(without(links, cases), f"live/{k}")
+            first = links.select("earlier").join(links.select(F.col("later").alias("earlier")), "earlier", "left_anti")
+            dead = self.scratch.save(links.join(first, "earlier", "left_semi").select(F.col("later").alias("id")).distinct(), f"dead/{k}")
+            links, cases, k = without(links, dead), dead if cases is None else cases.union(dead), k + 1
+
+        def rest(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"id": np.array(settled(part["earlier"].to_numpy(), part["later"].to_numpy()), "int64")})
+
+        if not live:
+            return cases
+        own = without(links, cases).groupBy().applyInPandas(rest, "id bigint")  # at most LOCAL_LINKS rows
+        return own if cases is None else cases.union(own)
 
 
-def batch_duplicates(df: DataFrame, loads: DataFrame, id_col="record_id", load_col="load_id", seq_col="load_seq", anchor="pair_id", buggy="buggy_revision", fixed="fixed_revision") -> DataFrame:
+def batch_duplicates(df: DataFrame, loads: DataFrame, id_col="record_id", load_col="load_id", seq_col="load_seq", anchor="pair_id", buggy="buggy_revision", fixed="fixed_revision", path: str | None = None) -> DataFrame:
     """(id) of the rows that add nothing, with the loads taken in order of ``seq_col``.
 
     Rows of no known load come after all loads, as one batch. Rows without two of anchor and revisions match
-    nothing and are accepted. An empty table gives no rows.
+    nothing and are accepted. An empty table gives no rows. The index is kept in ``path``, or in the scratch space.
     """
-    spark = df.sparkSession
-    d = BatchDeduplicator(spark)
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "batches")
     order = loads.select(F.col(load_col).alias("load"), F.col(seq_col).cast("long").alias("seq")).groupBy("load").agg(F.min("seq").alias("seq"))
     rows = C.canonical(df, id_col, K.pair_key(F.col(anchor)), buggy, fixed, F.col(load_col).alias("load"))
     rows = rows.join(order, "load", "left").select("id", "a", "b", "f", F.coalesce("seq", F.lit((1 << 62))).alias("seq"))
-    rows.filter(C.can_match()).write.partitionBy("seq").parquet(d.scratch.path("rows"))
-    schema = "id bigint, a string, b string, f string, seq bigint"
-    rows = spark.read.schema(schema).parquet(d.scratch.path("rows"))
-    out = spark.createDataFrame([], "id bigint")
-    for (seq,) in sorted(rows.select("seq").distinct().collect()):  # as many as there are loads
-        out = out.union(d.process(rows.filter(F.col("seq") == seq)))
-    d.index.drop()
+    rows = scratch.save(rows.filter(C.can_match()), "rows")
+    first = rows.groupBy("seq", "a", "b", "f").agg(F.min("id").alias("id")).withColumnRenamed("seq", "batch")
+    first.write.partitionBy("batch").parquet(scratch.path("first"))
+    first = spark.read.schema("a string, b string, f string, id bigint, batch bigint").parquet(scratch.path("first"))
+    links_within(first).write.partitionBy("batch").parquet(scratch.path("within"))  # no batch's own links depend on another
+    within = spark.read.schema("earlier bigint, later bigint, batch bigint").parquet(scratch.path("within"))
+    count = lambda df: {r.batch: r["count"] for r in df.groupBy("batch").count().collect()}  # noqa: E731 (as many as there are loads)
+    sizes, live = count(first), count(within)
+    index = AcceptedIndex.open(spark, path or scratch.path("index"), sum(sizes.values()))
+    batches = BatchDeduplicator(spark, index)
+    of = lambda df, seq, *cols: df.filter(F.col("batch") == seq).select(*cols)
+    for seq in sorted(sizes):
+        batches.decide(of(first, seq, "id", "a", "b", "f"), seq, sizes[seq], of(within, seq, "earlier", "later"), live.get(seq, 0))
+    out = scratch.save(rows.select("id").join(index.ids(), "id", "left_anti"), "cases")
+    index.close()
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.grouped_split import broken_groups, deal, linked_groups
 from ledgerloom.llm.history import batch_duplicates
 from ledgerloom.llm.mixing import draw_mix
-from ledgerloom.llm.overlap import cross_split_pairs, overlap_report
+from ledgerloom.llm.overlap import cross_split_classes, cross_split_pairs, overlap_report
 from ledgerloom.llm.subjects import document_subjects, subject_composition
 from ledgerloom.llm.tokens import encoded, round_trip, token_counts
 from ledgerloom.sources.tables import load
@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "r01_candidates")
-    return overlap_report(rows, cross_split_pairs(rows))
+    return overlap_report(rows, *cross_split_classes(rows))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +110,21 @@ pairs AS (SELECT DISTINCT e.record_id AS e_id, t.record_id AS t_id FROM (SELECT
 WHERE coalesce({b}, false) AND coalesce({f}, false) OR e.a = t.a AND (coalesce({b}, false) AND {loose("f")} OR coalesce({f}, false) AND {loose("b")}))"""
 
 
+def _history_sql() -> str:
+    """Links from each row to earlier ones, then one row after another with the list of cases so far."""
+    b, f = _AGREE.format("x.b", "y.b"), _AGREE.format("x.f", "y.f")
+    loose = lambda c: f"(x.{c} IS NULL OR y.{c} IS NULL OR {_TYPO.format('x.' + c, 'y.' + c)})"
+    rx = "'^r0*([0-9]+)[ _-]+pair[ _-]+0*([0-9]+)$'"
+    pair = f"CASE WHEN regexp_matches(lower(trim(pair_id)), {rx}) THEN regexp_replace(lower(trim(pair_id)), {rx}, '\\1:\\2') END"
+    rows = f"SELECT record_id, row_number() OVER (ORDER BY coalesce(load_seq, 1000000000), record_id) AS place, {pair} AS a, {_revision_sql('buggy_revision')} AS b, {_revision_sql('fixed_revision')} AS f FROM r01_candidates LEFT JOIN registry_loads USING (load_id)"
+    return f"""WITH RECURSIVE rows AS MATERIALIZED ({rows}), keyed AS MATERIALIZED (SELECT *, unnest([('b', left(b, 8)), ('f', left(f, 8))]) AS k FROM rows),
+links AS MATERIALIZED (SELECT DISTINCT x.place AS earlier, y.place AS later FROM keyed x JOIN keyed y ON x.k = y.k AND x.place < y.place WHERE x.k[2] IS NOT NULL
+AND (coalesce({b}, false) AND coalesce({f}, false) OR x.a = y.a AND (coalesce({b}, false) AND {loose("f")} OR coalesce({f}, false) AND {loose("b")}))),
+steps AS MATERIALIZED (SELECT later, list(earlier) AS before, row_number() OVER (ORDER BY later) AS i FROM links GROUP BY later),
+taken(i, cases) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.i, CASE WHEN len(list_filter(s.before, lambda e: NOT list_contains(t.cases, e))) > 0 THEN list_append(t.cases, s.later) ELSE t.cases END FROM taken t JOIN steps s ON s.i = t.i + 1)
+SELECT record_id FROM rows WHERE place IN (SELECT unnest(cases) FROM taken WHERE i = (SELECT max(i) FROM taken))"""
+
+
 def _groups_sql() -> str:
     """Rows with the least family that can be reached through shared pairs."""
     f = "lower(replace(replace(replace(replace(project_family, chr(65295), '/'), chr(8208), '-'), chr(92), '/'), '_', '-'))"
@@ -127,6 +142,7 @@ grouped AS (SELECT record_id, split, coalesce(roots.root, 'p:' || g.p, 'r:' || r
 
 
 ORACLE: dict[str, str] = {
+    "p3_found": _history_sql(),
     "p4_found": f"{_groups_sql()} SELECT record_id FROM grouped WHERE root IN (SELECT root FROM grouped GROUP BY 1 HAVING count(DISTINCT split) > 1)",
     "p1_found": f"{_overlap_sql()} SELECT least(e_id, t_id) AS record_id_a, greatest(e_id, t_id) AS record_id_b FROM pairs",
     "p1_report": f"{_overlap_sql()}, hits AS (SELECT e_id, count(*) AS n FROM pairs GROUP BY 1) SELECT lower(trim(split)) AS split, nullif(lower(trim(dataset_origin)), '') AS source, count(*) AS eval_rows, count(n) AS overlapping_rows, coalesce(sum(n), 0)::BIGINT AS pairs, round(count(n) / count(*), 6) AS overlap_share FROM r01_candidates LEFT JOIN hits ON e_id = record_id WHERE lower(trim(split)) IN ('dev_pilot', 'dev', 'time_ood_test') GROUP BY 1, 2",

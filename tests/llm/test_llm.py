@@ -1,4 +1,6 @@
 import random
+import re
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -114,7 +116,7 @@ def test_changes_empty(spark):
     empty = frame(spark, registry(1)).limit(0)
     loads = spark.createDataFrame([], "load_id string, load_seq int")
     assert overlap.cross_split_pairs(empty).isEmpty() and history.batch_duplicates(empty, loads).isEmpty()
-    assert overlap.overlap_report(empty.withColumn("dataset_origin", F.lit("x")), overlap.cross_split_pairs(empty)).isEmpty()
+    assert overlap.overlap_report(empty.withColumn("dataset_origin", F.lit("x")), *overlap.cross_split_classes(empty)).isEmpty()
 
 
 def test_history_hot_copies(spark):
@@ -126,6 +128,65 @@ def test_history_hot_copies(spark):
     assert sorted(x.id for x in history.batch_duplicates(frame(spark, rows), loads).collect()) == list(range(2, 401))
 
 
+def test_history_in_a_later_session(spark, tmp_path):
+    """A new batch meets the index of another session: it opens only the buckets of its keys and needs no other rows."""
+    r = random.Random(8)
+    old = [(i, f"own{i}", rev(r), rev(r)) for i in range(300)]
+    path, schema = f"file://{tmp_path}/index", "id bigint, a string, b string, f string"
+    index = history.AcceptedIndex.open(spark, path, buckets=64)
+    history.BatchDeduplicator(spark, index).process(spark.createDataFrame(old, schema), 1)
+    index.close()
+    later = spark.newSession()
+    later.conf.set("spark.sql.session.timeZone", "UTC")
+    index = history.AcceptedIndex.open(later, path)
+    assert index.buckets == 64 and index.ids().distinct().count() == 300
+    new = [(1000, "own7", old[7][2], typo(r, old[7][3], 1)), (1001, "other", rev(r), rev(r)), (1002, None, old[9][2][:12], old[9][3][:9]), (1003, "own7", old[7][2], rev(r)), (1004, "other", None, None)]
+    keys = history._banded(later.createDataFrame(new, schema))
+    rows = {(x.k, x.id) for x in index.probe(keys, 15).collect()}
+    assert {i for _, i in rows} == {7, 9} and rows == {(x.k, x.id) for x in index.probe(keys).collect()}
+    hit = {x.b for x in keys.select(F.expr("pmod(hash(k), 64)").alias("b")).collect()}
+    shutil.copytree(tmp_path / "index", tmp_path / "thinned")
+    for file in (tmp_path / "thinned").rglob("*_*.c000.snappy.parquet"):
+        if int(re.search(r"_(\d{5})\.c000", file.name)[1]) not in hit:
+            file.write_bytes(b"not to be read")
+    thinned = history.AcceptedIndex.open(later, f"file://{tmp_path}/thinned")
+    assert len(hit) <= 11 and {(x.k, x.id) for x in thinned.probe(keys, 15).collect()} == rows
+    with pytest.raises(Exception):
+        thinned.probe(keys).collect()
+    for _ in range(2):  # a batch that is processed again replaces itself
+        index.append(later.createDataFrame([(1001, "other", rev(r), rev(r))], schema), 2)
+        assert {x.id for x in index.ids().distinct().collect()} - set(range(300)) == {1001}
+    history.BatchDeduplicator(later, index).process(later.createDataFrame(new, schema).filter("id <> 1001"), 3)
+    assert {x.id for x in index.ids().distinct().collect()} - set(range(300)) == {1001, 1003}
+    smaller = index.compact(4)
+    assert smaller.buckets == 4 and smaller.ids().distinct().count() == 302 and history.AcceptedIndex.open(later, path).generation == 1
+    smaller.close()
+
+
+def test_chains_are_settled_in_order(spark, monkeypatch):
+    r = random.Random(6)
+    links = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(90)} | {(100 + i, 101 + i) for i in range(30)})
+    cases = set()
+    for y in sorted({b for _, b in links}):
+        if any(a not in cases for a, b in links if b == y):
+            cases.add(y)
+    assert history.settled(np.array([a for a, _ in links]), np.array([b for _, b in links])) == sorted(cases)
+    monkeypatch.setattr(history, "LOCAL_LINKS", 20)
+    d = history.BatchDeduplicator(spark, history.AcceptedIndex.open(spark, Scratch(spark, "chains").path("index"), buckets=2))
+    got = d._cases(spark.createDataFrame(links, "earlier bigint, later bigint"), len(links), None)
+    assert sorted({x.id for x in got.collect()}) == sorted(cases)
+
+
+def test_copies_are_classes(spark):
+    r = random.Random(2)
+    b, f = rev(r), rev(r)
+    rows = [(i, 1, b, f, "train" if i % 2 else "dev", "L1") for i in range(1, 201)]
+    pairs, members = overlap.cross_split_classes(frame(spark, rows))
+    assert [tuple(x) for x in pairs.collect()] == [(2, 1)] and members.count() == 200
+    report = overlap.overlap_report(frame(spark, rows).withColumn("dataset_origin", F.lit("o")), pairs, members).collect()
+    assert [(x.eval_rows, x.overlapping_rows, x.pairs) for x in report] == [(100, 100, 10000)]
+
+
 def test_segments_find_all_small_edits(spark):
     r = random.Random(9)
     pairs = []
@@ -134,7 +195,7 @@ def test_segments_find_all_small_edits(spark):
         pairs.append((i, s, typo(r, s, r.choice([1, 2]))))
     pairs = [p for p in pairs if len(p[2]) >= 36]
     side = lambda j: spark.createDataFrame([(p[0], "a", "0123456789", p[j]) for p in pairs], "id bigint, a string, b string, f string")
-    got = changes.verified_pairs(side(1), side(2).withColumn("mark", F.lit(True)))
+    got = changes.verified_pairs(side(1), side(2))
     assert {(x.cut_id, x.windowed_id) for x in got.collect()} >= {(p[0], p[0]) for p in pairs}
 
 
