@@ -6,6 +6,7 @@ executors) and reading it back, so a lost executor never loses an intermediate r
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import zipfile
@@ -50,11 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: what a stage is cut into before AQE coalesces it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def remembered(f):
+    """Builds an expression once per application: columns are by name, and building big ones call by call is slow."""
+    known: dict = {}
+
+    @functools.wraps(f)
+    def once(*args):
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in known:
+            known[key] = f(*args)
+        return known[key]
+
+    return once
+
+
 class Scratch:
     """Named intermediate tables in the shared folder."""
 
