@@ -19,21 +19,24 @@ from ledgerloom.session import Scratch, exists, parallelism
 LITERAL_KEYS, LOCAL_LINKS = 256, 200_000
 #: Index rows that a bucket should hold, when the number of buckets is chosen from the data.
 PER_BUCKET = 1_000_000
-COLUMNS = "k BIGINT, id BIGINT, sig ARRAY<BIGINT>, a STRING, b STRING, f STRING"
+COLUMNS = "h BIGINT, id BIGINT, sig ARRAY<BIGINT>, a STRING, b STRING, f STRING, batch BIGINT, kind INT"
+KEY, RECORD = 0, 1
 
 
 class AcceptedIndex:
-    """Band keys of all accepted records with their signatures, hash-partitioned by key into buckets, in a folder.
+    """Band keys of all accepted records, and the records with their signatures, in a folder.
 
-    The folder outlives the session: ``open`` finds it again with its number of buckets. One partition per batch, so
-    appending a batch leaves the old files as they are, and a batch that is appended again replaces itself. Rows are
-    sorted by key in their files. A probe never shuffles the index, and opens only the buckets its keys fall into.
+    Both are hash-partitioned into buckets: keys (``h``, id) by the key, records (``h``, id, signature, a, b, f) by a hash
+    of their id, so a record is kept once whatever its number of keys. The folder outlives the session: ``open`` finds
+    it again with its number of buckets. One partition per batch, so appending a batch leaves the old files as they are,
+    and a batch that is appended again replaces itself. Rows are sorted by ``h`` in their files. A probe never shuffles
+    the index, and opens only the buckets its keys fall into.
     """
 
     def __init__(self, spark: SparkSession, path: str, generation: int, buckets: int):
         self.spark, self.path, self.generation, self.buckets = spark, path, generation, buckets
         self.name = f"accepted_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{generation}"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}, batch BIGINT) USING parquet PARTITIONED BY (batch) CLUSTERED BY (k) SORTED BY (k) INTO {buckets} BUCKETS LOCATION '{path}/keys-{generation}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({COLUMNS}) USING parquet PARTITIONED BY (batch, kind) CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{path}/keys-{generation}'")
         self.empty = not exists(spark, f"{path}/keys-{generation}")
         if not self.empty:  # the batches that other sessions have written
             spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
@@ -52,39 +55,51 @@ class AcceptedIndex:
     def _note(spark: SparkSession, path: str, generation: int, buckets: int) -> None:
         spark.createDataFrame([(generation, buckets)], "generation int, buckets int").coalesce(1).write.mode("append").parquet(f"{path}/generations")
 
-    def _table(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def _table(self, kind: int) -> DataFrame:
+        return self.spark.table(self.name).filter(F.col("kind") == kind)
 
     def probe(self, keys: DataFrame, n: int | None = None) -> DataFrame:
         """Accepted rows (k, id, a, b, f) that share a key with ``keys`` (k), of which there are ``n`` if known.
 
         Few keys are put into the scan's filter: other buckets aren't opened, and row groups without them are
-        skipped. Many keys are shuffled to the buckets and joined there.
+        skipped. Many keys are shuffled to the buckets and joined there; so are the ids they lead to.
         """
-        rows = self._table().select("k", "id", "a", "b", "f")
-        if n is not None and n <= LITERAL_KEYS:
-            return rows.filter(F.col("k").isin([r.k for r in keys.select("k").distinct().collect()]))  # at most LITERAL_KEYS
-        return rows.join(keys.select("k").distinct().hint("shuffle_hash"), "k", "left_semi")
+        found, records = self._table(KEY).select("h", "id"), self._table(RECORD).select("h", "id", "a", "b", "f")
+        few = n is not None and n <= LITERAL_KEYS
+        if few:
+            found = found.filter(F.col("h").isin([r.k for r in keys.select("k").distinct().collect()]))  # at most LITERAL_KEYS
+        else:
+            found = found.join(keys.select(F.col("k").alias("h")).distinct().hint("shuffle_hash"), "h", "left_semi")
+        found = found.select(F.col("h").alias("k"), F.xxhash64("id").alias("h"), "id")
+        if few:
+            some = found.select("h").distinct().limit(LITERAL_KEYS + 1).collect()
+            if len(some) <= LITERAL_KEYS:
+                records = records.filter(F.col("h").isin([r.h for r in some]))
+        return found.hint("shuffle_hash").join(records, ["h", "id"]).select("k", "id", "a", "b", "f")
 
     def append(self, rows: DataFrame, batch: int) -> None:
-        """Write the keys of the accepted rows (id, a, b, f) of ``batch``, in place of what was written for it before."""
-        rows = rows.withColumn("sig", C.signature())
-        rows = rows.select(F.explode(C.band_keys()).alias("k"), "id", "sig", "a", "b", "f").repartition(self.buckets, "k")
-        rows.createOrReplaceTempView(f"{self.name}_new")
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = {batch}) SELECT * FROM {self.name}_new")
-        self.spark.catalog.dropTempView(f"{self.name}_new")
+        """Write the accepted rows (id, a, b, f) of ``batch`` and their keys, in place of what was written for it before."""
+        entry = lambda h, kind: F.struct(h.alias("h"), F.lit(kind).alias("kind"))
+        entries = F.concat(F.transform(C.band_keys(), lambda k: entry(k, KEY)), F.array(entry(F.xxhash64("id"), RECORD)))
+        rows = rows.withColumn("sig", C.signature()).select("id", "sig", "a", "b", "f", F.explode(entries).alias("x"))
+        kept = lambda c: F.when(F.col("x.kind") == RECORD, F.col(c)).alias(c)
+        self._write(rows.select("x.h", "id", *map(kept, ("sig", "a", "b", "f")), "x.kind"), batch)
         self.empty = False
 
+    def _write(self, rows: DataFrame, batch: int) -> None:
+        rows.repartition(self.buckets, "h").createOrReplaceTempView(f"{self.name}_new")
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = {batch}, kind) SELECT h, id, sig, a, b, f, kind FROM {self.name}_new")
+        self.spark.catalog.dropTempView(f"{self.name}_new")
+
     def ids(self) -> DataFrame:
-        """(id) of the accepted rows that can match others."""
-        return self._table().select("id")
+        """(id) of the accepted rows that can match others, each once."""
+        return self._table(RECORD).select("id")
 
     def compact(self, buckets: int | None = None) -> AcceptedIndex:
         """The index with one file per bucket, as a new generation; for now and then, when batches have left many
         small files or the buckets have grown. The old generation stays until it is deleted."""
         new = AcceptedIndex(self.spark, self.path, self.generation + 1, buckets or self.buckets)
-        self._table().drop("batch").repartition(new.buckets, "k").createOrReplaceTempView(f"{new.name}_new")
-        self.spark.sql(f"INSERT OVERWRITE TABLE {new.name} PARTITION (batch = -1) SELECT * FROM {new.name}_new")
+        new._write(self.spark.table(self.name), -1)
         self._note(self.spark, self.path, new.generation, new.buckets)
         self.close()
         return AcceptedIndex.open(self.spark, self.path)
@@ -107,14 +122,14 @@ def _banded(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.withColumn("sig", C.signature()).select("id", *keep, F.explode(C.band_keys()).alias("k"))
 
 
-def links_within(rows: DataFrame) -> DataFrame:
+def links_within(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(batch, earlier, later) of rows (id, a, b, f, batch) of one batch that state the same change.
 
     Only rows with a band key that occurs twice in their batch are joined by segments.
     """
     keys = _banded(rows, "batch")
     shared = keys.groupBy("batch", "k").agg(F.count("*").alias("x")).filter("x > 1").select("batch", "k")
-    pool = rows.join(keys.join(shared, ["batch", "k"], "left_semi").select("id"), "id", "left_semi")
+    pool = scratch.save(rows.join(keys.join(shared, ["batch", "k"], "left_semi").select("id"), "id", "left_semi"), "pool")
     return C.verified_pairs(pool, pool, "windowed_id < cut_id", ("batch",)).selectExpr("batch", "windowed_id AS earlier", "cut_id AS later")
 
 
@@ -136,9 +151,9 @@ class BatchDeduplicator:
         match are accepted and stay out of the index, as no row will ever match them.
         """
         first, n = self.scratch.save_counted(batch.filter(C.can_match()).groupBy("a", "b", "f").agg(F.min("id").alias("id")), "first")
-        links, live = self.scratch.save_counted(links_within(first.withColumn("batch", F.lit(number))), "within")
+        links, live = self.scratch.save_counted(links_within(first.withColumn("batch", F.lit(number)), self.scratch), "within")
         self.decide(first, number, n, links.select("earlier", "later"), live)
-        self.scratch.drop("first", "within")
+        self.scratch.drop("first", "within", "pool")
 
     def decide(self, batch: DataFrame, number: int, n: int, links: DataFrame, live: int) -> None:
         """As ``process``, for ``n`` rows of which none are copies, with their ``live`` links (earlier, later)."""
@@ -184,7 +199,9 @@ def batch_duplicates(df: DataFrame, loads: DataFrame, id_col="record_id", load_c
     first = rows.groupBy("seq", "a", "b", "f").agg(F.min("id").alias("id")).withColumnRenamed("seq", "batch")
     first.write.partitionBy("batch").parquet(scratch.path("first"))
     first = spark.read.schema("a string, b string, f string, id bigint, batch bigint").parquet(scratch.path("first"))
-    links_within(first).write.partitionBy("batch").parquet(scratch.path("within"))  # no batch's own links depend on another
+    ids = scratch.save(rows.select("id"), "ids")
+    scratch.drop("rows")
+    links_within(first, scratch).write.partitionBy("batch").parquet(scratch.path("within"))  # no batch's own links depend on another
     within = spark.read.schema("earlier bigint, later bigint, batch bigint").parquet(scratch.path("within"))
     count = lambda df: {r.batch: r["count"] for r in df.groupBy("batch").count().collect()}  # noqa: E731 (as many as there are loads)
     sizes, live = count(first), count(within)
@@ -193,6 +210,7 @@ def batch_duplicates(df: DataFrame, loads: DataFrame, id_col="record_id", load_c
     of = lambda df, seq, *cols: df.filter(F.col("batch") == seq).select(*cols)
     for seq in sorted(sizes):
         batches.decide(of(first, seq, "id", "a", "b", "f"), seq, sizes[seq], of(within, seq, "earlier", "later"), live.get(seq, 0))
-    out = scratch.save(rows.select("id").join(index.ids(), "id", "left_anti"), "cases")
+    out = scratch.save(ids.join(index.ids(), "id", "left_anti"), "cases")
+    scratch.drop("first", "within", "pool", "ids")
     index.close()
     return out
