@@ -7,6 +7,7 @@ parents, so no task grows with one key's references.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import Scratch
 
-#: Parents of a range, references of a chunk: what one task holds at once. Neither drops a row.
-PER_RANGE, PER_CHUNK, MAX_RANGES = 200_000, 200_000, 2048
+#: Parents of a range, references of a chunk: what one task holds at once. Neither drops a row. Up to CASES ranges are
+#: found by nested CASE expressions, more by a vectorised search; there is no greatest number of ranges.
+PER_RANGE, PER_CHUNK, CASES = 200_000, 200_000, 1024
 FOREVER = (1 << 63) - 1
 OUT = "ref_id bigint, ref_column string, reason string, at timestamp"
 
@@ -28,7 +30,15 @@ def _short(key: Column) -> Column:
 
 
 def _range_of(key: Column, lows: list[str]) -> Column:
-    """Index of the last lower bound at or below ``key``: a binary search as nested CASE expressions."""
+    """Index of the last lower bound at or below ``key``; keys below all bounds are in the first range."""
+    if len(lows) > CASES:
+        bounds = np.array([b.encode() for b in lows], dtype=object)  # a bound per PER_RANGE parents
+
+        @F.pandas_udf("int")
+        def found(keys: pd.Series) -> pd.Series:
+            return pd.Series(np.maximum(np.searchsorted(bounds, np.array([k.encode() for k in keys], dtype=object), "right") - 1, 0).astype("int32"))
+
+        return found(key)
 
     def search(a: int, b: int) -> Column:
         if b - a == 1:
@@ -52,7 +62,7 @@ def _last_at_or_before(starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: n
 def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     if refs.empty:
         return pd.DataFrame({"ref_id": pd.Series(dtype="int64"), "ref_column": pd.Series(dtype=str), "reason": pd.Series(dtype=str), "at": pd.Series(dtype="datetime64[ns]")})
-    have, want = (np.array([k.encode() for k in t["key"]], dtype=bytes) for t in (parents, refs))  # as wide as the longest key
+    have, want = (np.array([k.encode() + b"." for k in t["key"]], dtype=bytes) for t in (parents, refs))  # as wide as the longest key; numpy cuts trailing zero bytes
     starts, ends = parents["begins"].to_numpy("int64"), parents["ends"].to_numpy("int64")
     order = np.lexsort((starts, have))
     have, starts, ends = have[order], starts[order], ends[order]
@@ -84,15 +94,15 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     # rows that never end say no more than the earliest of them, nor do repeated beginnings
     parents = parents.groupBy("key", F.when(F.col("ends") < FOREVER, F.col("begins")).alias("closed")).agg(F.min("begins").alias("begins"), F.max("ends").alias("ends")).drop("closed")
     parents = scratch.save(parents, "parents")
-    n = min(MAX_RANGES, max(1, math.ceil(parents.count() / PER_RANGE)))
+    n = max(1, math.ceil(parents.count() / PER_RANGE))
     parents = scratch.save(parents.repartitionByRange(n, "key").sortWithinPartitions("key", "begins").withColumn("slot", F.spark_partition_id()), "ranges")
-    lows = sorted(r.low for r in parents.groupBy("slot").agg(F.min("key").alias("low")).collect())  # at most MAX_RANGES rows
+    lows = sorted(r.low for r in parents.groupBy("slot").agg(F.min("key").alias("low")).collect())  # a row per PER_RANGE parents
     refs = refs.filter("key IS NOT NULL").select("ref_id", "ref_column", tagged.alias("key"), "at", micros("at", -FOREVER).alias("micros"))
     refs = refs.withColumn("slot", _range_of(F.col("key"), lows))
     parents = parents.withColumn("slot", _range_of(F.col("key"), lows))
-    chunks = {r.slot: math.ceil(r["count"] / PER_CHUNK) for r in refs.groupBy("slot").count().collect()}  # at most MAX_RANGES rows
+    chunks = {r.slot: math.ceil(r["count"] / PER_CHUNK) for r in refs.groupBy("slot").count().collect()}  # a row per range
     hot = {s: c for s, c in chunks.items() if c > 1}
-    pieces = F.coalesce(F.try_element_at(F.create_map(*(F.lit(int(x)) for kv in hot.items() for x in kv)), F.col("slot")), F.lit(1)) if hot else F.lit(1)
+    pieces = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps({str(s): c for s, c in hot.items()})), "map<string,int>"), F.col("slot").cast("string")), F.lit(1)) if hot else F.lit(1)
     refs = refs.withColumn("chunk", F.pmod(F.xxhash64("ref_id", "ref_column"), pieces).cast("int"))
     parents = parents.select("key", "begins", "ends", "slot", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"))
     return refs.groupBy("slot", "chunk").cogroup(parents.groupBy("slot", "chunk")).applyInPandas(lambda r, p: _probe(r, p), OUT)

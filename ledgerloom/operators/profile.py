@@ -21,9 +21,11 @@ from ledgerloom.session import Scratch
 #: One-hot levels per column and hash; two hashes, so that values which fall together once seldom do twice.
 LEVELS, HASHES = 32, 2
 STEPS, BINS = 6, 512
-#: Least cross-fitted AUC of a column alone, or least loss of AUC without it, that points at the column. A value
-#: whose share moves by 0.2 gives 0.6, so this leaves room for folds and noise; ``2 / sqrt(rows)`` is taken off.
-LEAST_AUC, LEAST_LOSS = 0.53, 0.01
+#: What points at a column. A value whose share moves by ``least`` gives an AUC of at least 0.5 + least / 2 to a
+#: column alone, however large the loads; SLACK is for six steps of training and for binned scores. The cross-fitted AUC
+#: may lie below that by chance: by CHANCE standard errors. A column that the others can't stand in for loses
+#: LEAST_LOSS of AUC when it is left out, where its cross-fitted AUC alone says nothing.
+SLACK, CHANCE, LEAST_LOSS = 0.015, 3.0, 0.05
 
 
 def unpivot(df: DataFrame, id_col: str, load_col: str, columns: list[str]) -> DataFrame:
@@ -68,6 +70,18 @@ def base_profile(df: DataFrame, table: str, columns: list[str], forms: dict[str,
     return out.join(ends, "column_name", "left").select(*(picked.get(c, F.col(c)) for c in out.columns))
 
 
+def load_profile(df: DataFrame, table: str, columns: list[str], load_col: str) -> DataFrame:
+    """Per load and column: rows, null rate, distinct non-null values, share of the most frequent value (null included).
+
+    Rows of no load form a load of their own (null). Exact, with values counted once each as in ``base_profile``.
+    """
+    by_value = unpivot(df, load_col, load_col, columns).groupBy("load_id", "column_name", "value").agg(F.count("*").alias("n"))
+    g = by_value.groupBy(F.lit(table).alias("table_name"), "column_name", "load_id")
+    out = g.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("n_distinct"), F.max("n").alias("most"))
+    share = lambda c: F.round(F.col(c) / F.col("n_rows"), 6)
+    return out.select("table_name", "column_name", "load_id", "n_rows", share("nulls").alias("null_rate"), "n_distinct", share("most").alias("top_share"))
+
+
 def _tokens(columns: list[str], width: int) -> Column:
     """One-hot positions of a row: HASHES per column; columns beyond this table's own are -1."""
     out = []
@@ -108,7 +122,10 @@ def _models(tabs: dict[int, int]) -> list[tuple[int, tuple[int, ...]]]:
 
 
 def _pass(rows: DataFrame, models, weights: dict, sizes: dict, what: str) -> pd.DataFrame:
-    """One distributed pass: gradients and curvatures on the model's fold, or score histograms on the other fold."""
+    """One distributed pass: gradients and curvatures on the model's fold, or score histograms on the other fold.
+
+    Columns alone also have a model of both folds (fold 2), scored on what it was trained on.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
@@ -123,19 +140,19 @@ def _pass(rows: DataFrame, models, weights: dict, sizes: dict, what: str) -> pd.
                         if mt != tab:
                             continue
                         x = tokens[:, [c * HASHES + h for c in cols for h in range(HASHES)]]
-                        use = fold if what == "train" else 1 - fold
-                        w = weights.get((m, at, use))
-                        z = w[-1] + w[x].sum(axis=1) if w is not None else np.zeros(len(x))
-                        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                        if what == "train":
-                            d = tokens.shape[1] * LEVELS + 1
-                            a = acc.setdefault((m, at, use), np.zeros((2, d)))
-                            for j, v in enumerate(((p - label) * mass, p * (1 - p) * mass)):
-                                a[j, :-1] += np.bincount(x.ravel(), np.repeat(v, x.shape[1]), d - 1)
-                                a[j, -1] += v.sum()
-                        else:
-                            a = acc.setdefault((m, at, use), np.zeros((2, BINS)))
-                            a[int(label)] += np.bincount(np.minimum((p * BINS).astype(int), BINS - 1), mass, BINS)
+                        for use in (fold if what == "train" else 1 - fold, *([2] if len(cols) == 1 else [])):
+                            w = weights.get((m, at, use))
+                            z = w[-1] + w[x].sum(axis=1) if w is not None else np.zeros(len(x))
+                            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                            if what == "train":
+                                d = tokens.shape[1] * LEVELS + 1
+                                a = acc.setdefault((m, at, use), np.zeros((2, d)))
+                                for j, v in enumerate(((p - label) * mass, p * (1 - p) * mass)):
+                                    a[j, :-1] += np.bincount(x.ravel(), np.repeat(v, x.shape[1]), d - 1)
+                                    a[j, -1] += v.sum()
+                            else:
+                                a = acc.setdefault((m, at, use), np.zeros((2, BINS)))
+                                a[int(label)] += np.bincount(np.minimum((p * BINS).astype(int), BINS - 1), mass, BINS)
         rows = [(*k, i, float(v[0, i]), float(v[1, i])) for k, v in acc.items() for i in np.flatnonzero(v.any(axis=0))]
         yield pd.DataFrame(rows, columns=["m", "at", "fold", "i", "a", "b"]).astype({"m": "int32", "at": "int32", "fold": "int32", "i": "int32", "a": float, "b": float})
 
@@ -143,8 +160,12 @@ def _pass(rows: DataFrame, models, weights: dict, sizes: dict, what: str) -> pd.
     return parts.groupBy("m", "at", "fold", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # models times features
 
 
-def load_changes(rows: DataFrame, tabs: dict[int, int]) -> pd.DataFrame:
-    """(tab, rank, column, auc_alone, auc_loss, pointed): for each load and column, how well the column tells the load from the one before."""
+def load_changes(rows: DataFrame, tabs: dict[int, int], least: float = 0.2) -> pd.DataFrame:
+    """(tab, rank, column, auc_alone, auc_own, auc_loss, pointed): for each load and column, how well the column tells
+    the load from the one before: cross-fitted, on the rows trained on, and what the others lose without it.
+
+    A column is pointed at when neither AUC rules out a share that moved by ``least``, at every size of loads.
+    """
     sizes = {(r.tab, r["rank"]): float(r.n) for r in rows.groupBy("tab", "rank").agg(F.sum("n").alias("n")).collect()}  # loads
     models, weights = _models(tabs), {}
     dim = max(tabs.values(), default=0) * HASHES * LEVELS + 1
@@ -154,24 +175,25 @@ def load_changes(rows: DataFrame, tabs: dict[int, int]) -> pd.DataFrame:
             step = g["a"].to_numpy() / (g["b"].to_numpy() + 1e-4)
             w[g["i"].to_numpy()] -= np.clip(step, -4, 4) / (len(models[m][1]) * HASHES + 1)
     auc = {}
-    for (m, at), g in _pass(rows, models, weights, sizes, "score").groupby(["m", "at"]):
+    scores = _pass(rows, models, weights, sizes, "score")
+    for (m, at, own), g in scores.groupby(["m", "at", scores["fold"] == 2]):
         neg, pos = np.zeros(BINS), np.zeros(BINS)
         np.add.at(neg, g["i"].to_numpy(), g["a"].to_numpy())
         np.add.at(pos, g["i"].to_numpy(), g["b"].to_numpy())
         if neg.sum() and pos.sum():
-            auc[(m, at)] = float((pos * (np.cumsum(neg) - neg / 2)).sum() / (neg.sum() * pos.sum()))
-    index, out = {m: i for i, m in enumerate(models)}, []
+            auc[(m, at, own)] = float((pos * (np.cumsum(neg) - neg / 2)).sum() / (neg.sum() * pos.sum()))
+    index, out, moved = {m: i for i, m in enumerate(models)}, [], 0.5 + least / 2 - SLACK
     for (tab, at), n in sizes.items():
         if (tab, at - 1) not in sizes:
             continue
-        c = tabs[tab]
-        noise = 2 / np.sqrt(min(n, sizes[(tab, at - 1)]))
-        full = auc.get((index[(tab, tuple(range(c)))], at), 1.0)
+        c, before = tabs[tab], sizes[(tab, at - 1)]
+        error = np.sqrt((n + before + 1) / (12 * n * before))
+        full = auc.get((index[(tab, tuple(range(c)))], at, False), 1.0)
         for i in range(c):
-            alone = auc.get((index[(tab, (i,))], at), 1.0)
-            rest = auc.get((index[(tab, tuple(x for x in range(c) if x != i))], at), 0.5) if c > 1 else 0.5
-            out.append((tab, at, i, alone, full - rest, alone >= LEAST_AUC - noise or full - rest >= LEAST_LOSS))
-    return pd.DataFrame(out, columns=["tab", "rank", "column", "auc_alone", "auc_loss", "pointed"])
+            alone, own = (auc.get((index[(tab, (i,))], at, x), 1.0) for x in (False, True))
+            rest = auc.get((index[(tab, tuple(x for x in range(c) if x != i))], at, False), 0.5) if c > 1 else 0.5
+            out.append((tab, at, i, alone, own, full - rest, own >= moved and (alone >= moved - CHANCE * error or full - rest >= LEAST_LOSS)))
+    return pd.DataFrame(out, columns=["tab", "rank", "column", "auc_alone", "auc_own", "auc_loss", "pointed"])
 
 
 def exact_shifts(df: DataFrame, load_col: str, columns: list[str], suspects: list[tuple[str, str, str]], least: float = 0.2) -> DataFrame:
@@ -241,7 +263,7 @@ def column_changes(tables: dict[str, tuple[DataFrame, str, str, list[str]]], loa
     for p in parts[1:]:
         rows = rows.union(p)
     rows = Scratch(spark, "changes").save(rows.repartition("tab").sortWithinPartitions("tab", "rank", "fold"), "rows")
-    changed = load_changes(rows, dict.fromkeys(range(len(owner)), 1))
+    changed = load_changes(rows, dict.fromkeys(range(len(owner)), 1), least)
     load_of = {(r.tab, r["rank"]): r.load for r in rows.select("tab", "rank", "load").distinct().collect()}  # loads times columns
     sizes, cells = rows.groupBy("tab", "rank").agg(F.sum("n").alias("rows")), rows.groupBy("tab", "rank", "tokens").agg(F.sum("n").alias("n"))
     heavy = {(r.tab, r["rank"]) for r in cells.join(sizes, ["tab", "rank"]).filter(F.col("n") > least * F.col("rows")).select("tab", "rank").distinct().collect()}

@@ -114,3 +114,79 @@ def built_chain(df: DataFrame, keys: list[str], order: str, code: Column) -> Dat
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), code.alias("c"))))
     head = F.aggregate(items, F.lit(""), lambda a, x: F.sha2(F.concat(a, F.lit("|"), x["c"]), 256))
     return df.groupBy(*keys).agg(F.count("*").alias("n"), head.alias("head"))
+
+
+def evidence_update(**columns: Column) -> Column:
+    """What a piece of evidence does to a hypothesis: support, counter, unknown (counts added, the last may be negative),
+    status (set), revision (set where it was supported), terminal and reason. Missing: nothing."""
+    kinds = {"support": "int", "counter": "int", "unknown": "int", "status": "string", "revision": "string", "terminal": "string", "reason": "string"}
+    return F.struct(*(columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
+
+
+def evidence_replay(df: DataFrame, keys: list[str], order: str, update: Column, budget: int, unknowns: int = 0) -> DataFrame:
+    """(keys, reads, support, counter, unknowns, status, terminal, reason): each case's evidence read in order.
+
+    The budget is tested before each read, so only the first ``budget`` rows of a case can be read; these are cut off
+    before the shuffle and folded, a bounded array per case, whatever the length of its history. A terminal ends the
+    reading. FINISH with an undecided hypothesis becomes UNRESOLVED; so does a case without terminal, by
+    'budget_exhausted' or 'insufficient_material', and an unresolved case takes a decision back.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    first = df.withColumn("_u", update).withColumn("_r", rank).filter(F.col("_r") <= budget)
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_u"))), lambda x: x["_u"])
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("reads"), F.lit(0).alias("support"), F.lit(0).alias("counter"), F.lit(unknowns).alias("unknowns"), F.lit("open").alias("status"), none.alias("terminal"), none.alias("reason"))
+    add = lambda s, n, d: (s[n] + F.coalesce(d, F.lit(0))).alias(n)
+
+    def step(s: Column, u: Column) -> Column:
+        decided = s["status"].isin("supported", "refuted")
+        status = F.coalesce(u["status"], F.when(s["status"] == "supported", u["revision"]), s["status"])
+        lost = (u["terminal"] == "FINISH") & ~decided
+        terminal = F.when(lost, "UNRESOLVED").otherwise(u["terminal"])
+        reason = F.when(lost, F.coalesce(u["reason"], F.lit("insufficient_material"))).otherwise(u["reason"])
+        read = F.struct((s["reads"] + 1).alias("reads"), add(s, "support", u["support"]), add(s, "counter", u["counter"]), F.greatest(F.lit(0), s["unknowns"] + F.coalesce(u["unknown"], F.lit(0))).alias("unknowns"), status.alias("status"), terminal.alias("terminal"), reason.alias("reason"))
+        return F.when(s["terminal"].isNotNull(), s).otherwise(read)
+
+    out = first.groupBy(*keys).agg(F.aggregate(steps, start, step).alias("s")).select(*keys, "s.*")
+    early = F.when(F.col("reads") == budget, "budget_exhausted").otherwise("insufficient_material")
+    reason = F.when(F.col("terminal").isNull(), early).otherwise(F.col("reason"))
+    status = F.when(F.col("terminal") == "FINISH", F.col("status")).otherwise("unresolved")
+    return out.select(*keys, "reads", "support", "counter", "unknowns", status.alias("status"), F.coalesce("terminal", F.lit("UNRESOLVED")).alias("terminal"), reason.alias("reason"))
+
+
+def level_digest(df: DataFrame, order: str, digest: str, levels: int, width: int = 512) -> DataFrame:
+    """One row (digest): commitment to all rows in order of a number, by buckets of ``width`` numbers level by level.
+
+    No task holds more than a bucket of one level; with enough levels that bounds it for any table.
+    """
+    line = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: F.concat(x[order].cast("string"), F.lit("\n"), x[digest])), "\n")
+    for _ in range(levels):
+        df = df.groupBy(F.floor(F.col(order) / width).alias("_b")).agg(F.sha2(line(), 256).alias("_h")).select(F.col("_b").alias(order), F.col("_h").alias(digest))
+    return df.agg(F.sha2(line(), 256).alias("digest"))
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, ranks: dict[str, Column], span: float) -> DataFrame:
+    """(group, names of ``ranks``): values at ranks (from 1; an expression of ``n``, the group's non-null values).
+
+    Values are counted once each, ranks looked for in ranges of ``span`` first and then within the few ranges that hold
+    one, so no task sorts a group. A rank between two numbers gives both neighbours' interpolation.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.floor(F.col(value) / span).alias("_b"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(group, "_b").orderBy("_v")
+    coarse = counts.groupBy(group, "_b").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(group)
+    coarse = coarse.select(F.col(group).alias("_g"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), "_s", F.sum("_s").over(w).alias("n"))
+    ends = [f(r) for r in ranks.values() for f in (F.floor, F.ceil)]
+    held = F.lit(False)
+    for r in ends:
+        held = held | ((r > F.col("_before")) & (r <= F.col("_before") + F.col("_s")))
+    few = counts.join(coarse.filter(held), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_kb")))
+    upto = F.col("_before") + F.sum("_c").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    few = few.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    at = lambda r: F.min(F.when((r > F.col("_from")) & (r <= F.col("_to")), F.col("_v")))
+    cols = []
+    for name, r in ranks.items():
+        cols += [at(F.floor(r)).alias(f"_lo_{name}"), at(F.ceil(r)).alias(f"_hi_{name}"), F.max(r - F.floor(r)).alias(f"_f_{name}")]
+    out = few.groupBy(group).agg(*cols)
+    mixed = lambda n: (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+    return out.select(group, *map(mixed, ranks))

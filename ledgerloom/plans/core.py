@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import keys as K
 from ledgerloom.operators.drift import schema_changes, unified_table
 from ledgerloom.operators.orphans import orphan_references, orphan_report
-from ledgerloom.operators.profile import base_profile, column_changes, quality_issues
-from ledgerloom.plans import reference
+from ledgerloom.operators.profile import base_profile, column_changes, load_profile, quality_issues
+from ledgerloom.plans import evidence, reference  # noqa: F401 (evidence registers its queries with those of reference)
 from ledgerloom.sources.tables import load
 
 #: One row of totals is joined to each row of a report: the only cross joins here.
@@ -61,6 +61,12 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+def p2_load_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Null rate, distinct values and the greatest share of a value, of every column in every load."""
+    parts = [load_profile(df, name, df.columns, l) for name, (df, _, l, _) in _quality_tables(spark, d).items()]
+    return parts[0].union(parts[1])
+
+
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes between loads of every column of both tables."""
     return column_changes({name: (df, i, l, df.columns) for name, (df, i, l, _) in _quality_tables(spark, d).items()}, load(spark, d, "registry_loads"))
@@ -133,13 +139,44 @@ def candidate_profile(spark: SparkSession, d: str) -> DataFrame:
     return base_profile(load(spark, d, "r01_candidates"), "r01_candidates", _CANDIDATE_COLUMNS, CANDIDATE_FORMS, "record_id", "load_id", as_text=True)
 
 
+_CANDIDATE_TIMES, _READINESS_TIMES = ["registered_at", "loaded_at", "removed_at"], ["checked_at"]
+
+
+def _typed_profile_sql(table: str, text: list[str], numbers: list[str], times: list[str], bad: dict[str, str]) -> str:
+    """As ``_profile_sql``, with ranges by the order of numbers and times."""
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, {lo} AS least, {hi} AS greatest, {b} AS n_malformed, round((count(*) - count({c})) / count(*), 6) AS null_rate FROM {t}"
+    ends = lambda c: [f"({f}({c}))::VARCHAR" if c in numbers else f"rtrim(rtrim(strftime({f}({c}) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')" if c in times else f"{f}({c})" for f in ("min", "max")]
+    return " UNION ALL ".join(one.format(t=table, c=c, lo=ends(c)[0], hi=ends(c)[1], b=f"count(*) FILTER ({bad[c]})" if c in bad else "0") for c in numbers + text + times)
+
+
+def _load_profile_sql(table: str, columns: list[str]) -> str:
+    one = "SELECT '{t}' AS table_name, '{c}' AS column_name, load_id, sum(n)::BIGINT AS n_rows, round(coalesce(sum(n) FILTER (v IS NULL), 0) / sum(n), 6) AS null_rate, count(v) AS n_distinct, round(max(n) / sum(n), 6) AS top_share FROM (SELECT load_id, {c}::VARCHAR AS v, count(*) AS n FROM {t} GROUP BY ALL) GROUP BY load_id"
+    return " UNION ALL ".join(one.format(t=table, c=c) for c in columns)
+
+
+def _changes_sql(table: str, columns: list[str]) -> str:
+    """Loads in which the share of a value, null included, differs from the load before by more than 0.2."""
+    out = []
+    for c in columns:
+        counts = f"SELECT dense_rank() OVER (ORDER BY l.load_seq) AS k, t.{c}::VARCHAR AS v, count(*) AS n FROM {table} t JOIN registry_loads l USING (load_id) GROUP BY l.load_seq, t.{c}"
+        shares = f"SELECT k, v, n / sum(n) OVER (PARTITION BY k) AS share FROM ({counts})"
+        ranks = f"SELECT DISTINCT dense_rank() OVER (ORDER BY l.load_seq) AS k, load_id FROM {table} JOIN registry_loads l USING (load_id)"
+        moved = f"SELECT k, v, sum(x) AS d FROM (SELECT k, v, share AS x FROM ({shares}) UNION ALL SELECT k + 1, v, -share FROM ({shares})) GROUP BY 1, 2"
+        out.append(f"SELECT DISTINCT '{table}' AS table_name, '{c}' AS column_name, load_id FROM ({moved}) m JOIN ({ranks}) r USING (k) WHERE k > 1 AND abs(d) > 0.2 + 1e-12")
+    return " UNION ALL ".join(out)
+
+
+_ALL_CANDIDATE, _ALL_READINESS = _CANDIDATE_COLUMNS + _CANDIDATE_TIMES, ["readiness_id", *_READINESS, *_READINESS_TIMES]
 ORPHANS = {
     "p5_found": f"SELECT readiness_id, ref_column, reason FROM ({_ORPHAN_SQL})",
     "p5_report": f"SELECT 'r01_readiness' AS table_name, ref_column, strftime(checked_at AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*) AS n FROM ({_ORPHAN_SQL}) GROUP BY ALL",
 }
 PROFILES = {
+    "p2_profile": " UNION ALL ".join([_typed_profile_sql("r01_candidates", [c for c in _CANDIDATE_COLUMNS if c != "record_id"], ["record_id"], _CANDIDATE_TIMES, _CANDIDATE_BAD), _typed_profile_sql("r01_readiness", _READINESS, ["readiness_id"], _READINESS_TIMES, {"ready": "ready NOT IN ('yes', 'no')"})]),
+    "p2_load_profile": " UNION ALL ".join([_load_profile_sql("r01_candidates", _ALL_CANDIDATE), _load_profile_sql("r01_readiness", _ALL_READINESS)]),
+    "p2_changes": " UNION ALL ".join([_changes_sql("r01_candidates", _ALL_CANDIDATE), _changes_sql("r01_readiness", _ALL_READINESS)]),
     "readiness_profile": _profile_sql("r01_readiness", _READINESS, {"ready": "ready NOT IN ('yes', 'no')"}),
     "candidate_profile": _profile_sql("r01_candidates", _CANDIDATE_COLUMNS, _CANDIDATE_BAD),
 }
-QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, p2_changes, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
+QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, p2_load_profile, p2_changes, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt)}
 ORACLE = reference.ORACLE | PROFILES | ORPHANS | {"p2_found": _issues_sql()}

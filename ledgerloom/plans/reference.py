@@ -45,10 +45,11 @@ def _coverage(spark: SparkSession, d: str) -> DataFrame:
     return R.status_by_left_join(load(spark, d, "orders"), lines, "o_orderkey", F.when(COL("o_orderstatus") == "P", "failed").otherwise("success"))
 
 
-@query(f"SELECT status, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS requested FROM ({_COVERED}) GROUP BY status")
+@query(f"SELECT status, count(*) AS n, (SELECT count(*) FROM orders) AS requested FROM ({_COVERED}) GROUP BY status")
 def coverage_status(spark, d):
-    out = _coverage(spark, d).groupBy("status").agg(F.count("*").alias("n"))
-    return out.withColumn("requested", F.sum("n").over(Window.partitionBy()))  # one row per status
+    """Counts per status beside what was requested, which is counted apart, so a lost or doubled row shows."""
+    asked = load(spark, d, "orders").agg(F.count("*").alias("requested"))
+    return _coverage(spark, d).groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(asked))  # one row of totals
 
 
 @query(f"SELECT o_orderkey, status FROM ({_COVERED})")
@@ -125,11 +126,12 @@ def canonical_hash_orders(spark, d):
     return load(spark, d, "orders").select("o_orderkey", _order_hash().alias("commitment"))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_valid FROM orders")
+@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderkey % 50 <> 0 AND NOT (o_orderpriority LIKE '1%' AND o_custkey % 9 = 0)) AS n_valid FROM orders GROUP BY 1")
 def self_commitment_check(spark, d):
-    o = load(spark, d, "orders").select(F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", _order_hash().alias("own")).alias("r"))
-    again = C.digest(F.to_json(F.struct(COL("r.o_custkey").alias("custkey"), COL("r.o_orderkey").alias("key"), COL("r.o_orderpriority").alias("priority"), COL("r.o_orderstatus").alias("status")), {"ignoreNullFields": "false"}))
-    return o.agg(F.count("*").alias("n"), F.count_if(again == COL("r.own")).alias("n_valid"))
+    """Records that carry their own commitment: recomputed without that field. Some were altered after it was made, or lost a field."""
+    o = load(spark, d, "orders").withColumn("own", _order_hash())
+    o = o.withColumn("o_custkey", F.when(COL("o_orderkey") % 50 == 0, COL("o_custkey") + 1).otherwise(COL("o_custkey"))).withColumn("o_orderpriority", F.when(COL("o_orderpriority").startswith("1") & (COL("o_custkey") % 9 == 0) & (COL("o_orderkey") % 50 != 0), F.lit(None)).otherwise(COL("o_orderpriority")))
+    return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(_order_hash() == COL("own")).alias("n_valid"))
 
 
 @query("SELECT c_mktsegment, sha256(string_agg(h, ',' ORDER BY bucket)) AS set_commitment FROM (SELECT c_mktsegment, c_custkey // 100 AS bucket, sha256(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey)) AS h FROM customer GROUP BY 1, 2) GROUP BY 1")
@@ -161,11 +163,11 @@ def redacted_diagnostics(spark, d):
     return load(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.sha2("event_type", 256))), ",").alias("diagnostics"))
 
 
-@query("SELECT dedup_key, count(*) AS n, min(record_id) AS kept FROM (SELECT record_id, sha256(coalesce(source_locator, '~') || '|' || coalesce(buggy_revision, '~') || '|' || coalesce(category_claim, '~')) AS dedup_key FROM r01_candidates) GROUP BY 1")
+@query("SELECT dedup_key, count(*) AS n, min(record_id) AS kept FROM (SELECT record_id, sha256(coalesce(source_locator, '~') || '|' || coalesce(buggy_revision, '~') || '|' || coalesce(category_claim, '~') || '|' || coalesce(obligation_basis, '~') || '|' || coalesce(fixed_revision, '~')) AS dedup_key FROM r01_candidates) GROUP BY 1")
 def dedup_key(spark, d):
     """SPEC: one row per content key, the first kept."""
     part = lambda c: F.coalesce(COL(c), F.lit("~"))
-    k = F.sha2(F.concat_ws("|", part("source_locator"), part("buggy_revision"), part("category_claim")), 256)
+    k = F.sha2(F.concat_ws("|", *map(part, ("source_locator", "buggy_revision", "category_claim", "obligation_basis", "fixed_revision"))), 256)
     return load(spark, d, "r01_candidates").groupBy(k.alias("dedup_key")).agg(F.count("*").alias("n"), F.min("record_id").alias("kept"))
 
 
@@ -210,11 +212,6 @@ def readiness_blockers(spark, d):
     return load(spark, d, "r01_readiness").select("readiness_id", found.alias("blockers"))
 
 
-@query("""SELECT raw_id, len(regexp_extract_all(body, '"(provider|model|prompt_sha256)":'))::BIGINT AS n_forbidden FROM enrichment_raw""")
-def forbidden_key_scan(spark, d):
-    return load(spark, d, "enrichment_raw").select("raw_id", long(F.coalesce(F.size(F.regexp_extract_all("body", F.lit('"(provider|model|prompt_sha256)":'), F.lit(0))), F.lit(0))).alias("n_forbidden"))
-
-
 @query("SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes, coalesce(octet_length(encode(text)) <= 8192, false) AS in_bounds FROM documents")
 def metadata_bounds(spark, d):
     return load(spark, d, "documents").select("doc_id", long(F.length("text")).alias("chars"), long(F.octet_length("text")).alias("bytes"), F.coalesce(F.octet_length("text") <= 8192, F.lit(False)).alias("in_bounds"))
@@ -273,10 +270,10 @@ def url_redaction(spark, d):
     return load(spark, d, "r01_candidates").select("record_id", P.redacted_url(COL("source_locator")).alias("redacted"))
 
 
-@query("SELECT catalog_row, CASE WHEN artifacts.patch_path LIKE '%.patch' THEN 'patch' WHEN artifacts.patch_path IS NULL THEN '__derived__' ELSE 'other' END AS kind FROM case_catalog")
+@query("SELECT catalog_row, CASE WHEN artifacts.manifest_path IS NULL THEN '__batch__' WHEN artifacts.patch_path LIKE '%.patch' THEN 'patch' WHEN artifacts.patch_path IS NULL THEN '__derived__' ELSE 'other' END AS kind FROM case_catalog")
 def artifact_kind(spark, d):
     p = COL("artifacts.patch_path")
-    return load(spark, d, "case_catalog").select("catalog_row", F.when(p.endswith(".patch"), "patch").when(p.isNull(), "__derived__").otherwise("other").alias("kind"))
+    return load(spark, d, "case_catalog").select("catalog_row", F.when(COL("artifacts.manifest_path").isNull(), "__batch__").when(p.endswith(".patch"), "patch").when(p.isNull(), "__derived__").otherwise("other").alias("kind"))
 
 
 @query("SELECT raw_id, CASE WHEN json_valid(body) THEN coalesce(json_array_length(body, '$.payload.trace'), 0) END::BIGINT AS n_trace, CASE WHEN json_valid(body) THEN coalesce(json_array_length(body, '$.payload.locations'), 0) END::BIGINT AS n_locations FROM enrichment_raw")
@@ -293,17 +290,19 @@ def head_tail_truncate(spark, d):
 
 @query("SELECT doc_id, i AS line_no, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), generate_series(3, 6) g(i) WHERE i <= len(t)")
 def line_window(spark, d):
-    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.filter(COL("i").between(2, 5)).select("doc_id", long(COL("i") + 1).alias("line_no"), "line")
+    window = F.slice(F.split("text", "\n"), 3, 4)  # cut out before lines become rows
+    return load(spark, d, "documents").select("doc_id", F.posexplode(window).alias("i", "line")).select("doc_id", long(COL("i") + 3).alias("line_no"), "line")
 
 
-@query("SELECT event_id, count(*) OVER () AS n, true AS agree FROM events")
+@query("SELECT event_id, event_id % 101 <> 0 AND event_id % 103 <> 0 AS agree, CASE WHEN event_id % 101 = 0 THEN 'missing' WHEN event_id % 103 = 0 THEN 'differs' ELSE 'same' END AS how FROM events")
 def dual_views_agree(spark, d):
-    """Two projections of one sequence must give the same events in the same order."""
+    """Two views of one sequence must give the same events; one of them lost some and changed others."""
     e = load(spark, d, "events")
-    a, b = (e.select("event_id", C.commitment(t="event_type", u="user_id").alias(h)) for h in ("ha", "hb"))
-    n = e.agg(F.count("*").alias("n"))
-    return a.join(b, "event_id", "full_outer").select("event_id", COL("ha").eqNullSafe(COL("hb")).alias("agree")).crossJoin(F.broadcast(n))  # one row of totals
+    h = lambda t: C.commitment(t=t, u="user_id")
+    a = e.select("event_id", h("event_type").alias("ha"))
+    b = e.filter("event_id % 101 <> 0").select("event_id", h(F.when(COL("event_id") % 103 == 0, "other").otherwise(COL("event_type"))).alias("hb"))
+    how = F.when(COL("ha").isNull() | COL("hb").isNull(), "missing").when(COL("ha") != COL("hb"), "differs").otherwise("same")
+    return a.join(b, "event_id", "full_outer").select("event_id", (how == "same").alias("agree"), how.alias("how"))
 
 
 # ---- aggregates
@@ -327,12 +326,18 @@ def rate_and_latency(spark, d):
 
 @query("SELECT lang, min(n_chars) AS shortest, median(n_chars) AS middle, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS longest FROM documents GROUP BY 1")
 def summary_nearest_rank(spark, d):
-    return load(spark, d, "documents").groupBy("lang").agg(F.min("n_chars").alias("shortest"), F.percentile("n_chars", F.lit(0.5)).alias("middle"), long(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)")).alias("p95"), F.max("n_chars").alias("longest"))
+    docs = load(spark, d, "documents")
+    ranks = {"middle": (COL("n") + 1) / 2, "p95": F.ceil(COL("n") * F.lit(0.95))}
+    q = S.exact_quantiles(docs, "lang", "n_chars", ranks, span=1000).withColumnRenamed("lang", "l")
+    ends = docs.groupBy("lang").agg(F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+    return ends.join(q, COL("lang").eqNullSafe(COL("l")), "left").select("lang", "shortest", COL("middle").cast("double").alias("middle"), long(COL("p95")).alias("p95"), "longest")
 
 
 @query("SELECT event_type, round(coalesce(quantile_cont(value, 0.95), 0), 4) AS p95 FROM events GROUP BY 1")
 def summary_linear(spark, d):
-    return load(spark, d, "events").groupBy("event_type").agg(F.round(F.coalesce(F.percentile("value", F.lit(0.95)), F.lit(0.0)), 4).alias("p95"))
+    e = load(spark, d, "events")
+    q = S.exact_quantiles(e, "event_type", "value", {"p95": (COL("n") - 1) * F.lit(0.95) + 1}, span=0.25)
+    return e.select("event_type").distinct().join(q, "event_type", "left").select("event_type", F.round(F.coalesce("p95", F.lit(0.0)), 4).alias("p95"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -362,11 +367,11 @@ def all_gates(spark, d):
     return load(spark, d, "lineitem").groupBy("l_orderkey").agg(gates.alias("all_passed"))
 
 
-@query("SELECT pair_id, count(*) AS n, count(DISTINCT sha256(coalesce(buggy_revision, '~') || '|' || coalesce(fixed_revision, '~'))) = 1 AS consistent FROM r01_candidates GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT pair_id, count(*) AS n, count(DISTINCT sha256(coalesce(buggy_revision, '~') || '|' || coalesce(fixed_revision, '~'))) = 1 AS consistent, count(*) = 2 AS exact_repeat FROM r01_candidates GROUP BY 1 HAVING count(*) > 1")
 def repeat_consistency(spark, d):
     h = F.sha2(F.concat_ws("|", F.coalesce("buggy_revision", F.lit("~")), F.coalesce("fixed_revision", F.lit("~"))), 256)
     g = load(spark, d, "r01_candidates").select("pair_id", h.alias("h")).groupBy("pair_id")
-    return g.agg(F.count("*").alias("n"), (F.min("h") == F.max("h")).alias("consistent")).filter("n > 1")
+    return g.agg(F.count("*").alias("n"), (F.min("h") == F.max("h")).alias("consistent"), (F.count("*") == 2).alias("exact_repeat")).filter("n > 1")
 
 
 @query("SELECT l_returnflag, round(sum(l_quantity), 2) AS quantity, count(*) FILTER (l_discount = 0) AS undiscounted, count(*) FILTER (l_tax > 0.05) AS taxed FROM lineitem GROUP BY 1")
@@ -415,7 +420,7 @@ def event_chain(spark, d):
 @query("SELECT file_name, bool_and(line_no = r) AS gap_free FROM (SELECT file_name, line_no, row_number() OVER (PARTITION BY file_name ORDER BY line_no) AS r FROM enrichment_raw) GROUP BY 1")
 def gap_free_sequence(spark, d):
     """Distinct line numbers from 1 to the count: two aggregates, no ordering of a file's lines."""
-    return load(spark, d, "enrichment_raw").groupBy("file_name").agg(((F.min("line_no") == 1) & (F.max("line_no") == F.count("*"))).alias("gap_free"))
+    return load(spark, d, "enrichment_raw").groupBy("file_name").agg(((F.min("line_no") == 1) & (F.max("line_no") == F.count("*")) & (F.count_distinct("line_no") == F.count("*"))).alias("gap_free"))
 
 
 @query("SELECT user_id, day, codes, regexp_full_match(codes, '[vcs]*(p[vcs]*)*e?') AS legal FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, string_agg(left(event_type, 1), '' ORDER BY event_id) AS codes FROM events GROUP BY 1, 2)")
@@ -444,9 +449,9 @@ def transition_from_previous(spark, d):
     return e.select("event_id", F.when(COL("before") == "error", "repair").when(COL("before").isNull(), "initial").otherwise("continue").alias("purpose"))
 
 
-@query("SELECT o_custkey, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS contiguous FROM orders GROUP BY 1")
+@query("SELECT o_custkey, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AND count(DISTINCT o_orderkey) = count(*) AS contiguous FROM orders GROUP BY 1")
 def contiguous_segment(spark, d):
-    return load(spark, d, "orders").groupBy("o_custkey").agg((F.max("o_orderkey") - F.min("o_orderkey") + 1 == F.count("*")).alias("contiguous"))
+    return load(spark, d, "orders").groupBy("o_custkey").agg(((F.max("o_orderkey") - F.min("o_orderkey") + 1 == F.count("*")) & (F.count_distinct("o_orderkey") == F.count("*"))).alias("contiguous"))
 
 
 @query("SELECT o_orderkey, o_custkey, rank FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders) ORDER BY rank, o_custkey LIMIT 64")
@@ -620,11 +625,12 @@ def vocabulary_misses(spark, d):
     return seen.select("load_id", F.array_join(F.array_sort(F.array_except("seen", known)), ",").alias("misses"))
 
 
-@query("SELECT record_id, NOT (source_locator IS NULL AND NOT contains(coalesce(blocker, ''), 'not_locatable')) AS uncertainty_ok, CASE WHEN load_id = 'load-12' THEN 'current' WHEN load_id IS NULL THEN 'unknown' ELSE load_id || '-stale' END AS generation FROM r01_candidates")
+@query("SELECT record_id, NOT (source_locator IS NULL AND NOT contains(coalesce(blocker, ''), 'not_locatable')) AS uncertainty_ok, CASE WHEN load_id = (SELECT arg_max(load_id, load_seq) FROM registry_loads) THEN 'current' WHEN load_id IS NULL THEN 'unknown' ELSE load_id || '-stale' END AS generation FROM r01_candidates")
 def evidence_rules(spark, d):
     silent = COL("source_locator").isNull() & ~F.contains(F.coalesce("blocker", F.lit("")), F.lit("not_locatable"))
-    generation = F.when(COL("load_id") == "load-12", "current").when(COL("load_id").isNull(), "unknown").otherwise(F.concat("load_id", F.lit("-stale")))
-    return load(spark, d, "r01_candidates").select("record_id", (~silent).alias("uncertainty_ok"), generation.alias("generation"))
+    latest = load(spark, d, "registry_loads").agg(F.max_by("load_id", "load_seq").alias("latest"))
+    generation = F.when(COL("load_id") == COL("latest"), "current").when(COL("load_id").isNull(), "unknown").otherwise(F.concat("load_id", F.lit("-stale")))
+    return load(spark, d, "r01_candidates").crossJoin(F.broadcast(latest)).select("record_id", (~silent).alias("uncertainty_ok"), generation.alias("generation"))  # one row
 
 
 @query("SELECT readiness_id, coalesce(sum(n), 0)::BIGINT AS n_receipts, coalesce(bool_or(c.local_catalog_key = r.local_catalog_key), false) AS bound FROM r01_readiness r LEFT JOIN (SELECT pair_id, local_catalog_key, count(*) AS n FROM r01_candidates GROUP BY 1, 2) c ON r.pair_id = c.pair_id GROUP BY readiness_id")
@@ -645,17 +651,20 @@ def operation_profile(spark, d):
     return load(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(m(0), COL("event_type")), F.lit("any")).alias("evidence"), F.coalesce(F.try_element_at(m(1), COL("event_type")), F.lit(4)).alias("cost"))
 
 
-@query("SELECT a.user_id, count(*) AS steps, bool_and(a.event_id = b.event_id) AS identical FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) a JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) b ON a.user_id = b.user_id AND a.r = b.r GROUP BY 1")
+@query("SELECT coalesce(a.user_id, b.user_id) AS user_id, count(*) AS steps, coalesce(bool_and(coalesce(a.event_id = b.event_id, false)), false) AS identical FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) a FULL JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_id % 211 <> 0) b ON a.user_id = b.user_id AND a.r = b.r GROUP BY 1")
 def events_and_transitions(spark, d):
-    e = load(spark, d, "events")
-    step = lambda name, *order: e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).alias("r"), COL("event_id").alias(name))
-    return step("a", "event_id").join(step("b", "ts", "event_id"), ["user_id", "r"]).groupBy("user_id").agg(F.count("*").alias("steps"), F.every(COL("a") == COL("b")).alias("identical"))
+    """Step by step, an event and its transition; a longer side is told, not cut off."""
+    e = load(spark, d, "events").select("user_id", "event_id", F.unix_micros(COL("ts").cast("timestamp")).alias("at"))
+    step = lambda df, order, name: S.positioned(df, ["user_id"], order, span=S.SPAN if order == "event_id" else 1 << 40).select("user_id", "position", COL("event_id").alias(name))
+    both = step(e, "event_id", "a").join(step(e.filter("event_id % 211 <> 0"), "at", "b"), ["user_id", "position"], "full_outer")
+    return both.groupBy("user_id").agg(F.count("*").alias("steps"), F.every(F.coalesce(COL("a") == COL("b"), F.lit(False))).alias("identical"))
 
 
 @query("SELECT event_id, printf('O-%04d', list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type)) AS obligation FROM events")
 def obligation_renumber(spark, d):
     at = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), COL("event_type"))
-    return load(spark, d, "events").select("event_id", F.format_string("O-%04d", at).alias("obligation"))
+    unknown = F.raise_error(F.concat(F.lit("unknown obligation "), F.coalesce("event_type", F.lit("(null)"))))
+    return load(spark, d, "events").select("event_id", F.when(at > 0, F.format_string("O-%04d", at)).otherwise(unknown).alias("obligation"))
 
 
 @query("SELECT pair_id, count(*) AS n, count(*) FILTER (CASE WHEN same THEN 'reuse' ELSE 'recompute' END = 'reuse') AS reused FROM (SELECT c.pair_id, c.buggy_revision IS NOT DISTINCT FROM f.b AND c.fixed_revision IS NOT DISTINCT FROM f.x AS same FROM r01_candidates c JOIN (SELECT pair_id, arg_min(coalesce(buggy_revision, '~'), record_id) AS b0, arg_min(coalesce(fixed_revision, '~'), record_id) AS x0, nullif(b0, '~') AS b, nullif(x0, '~') AS x FROM r01_candidates GROUP BY pair_id) f ON c.pair_id = f.pair_id) GROUP BY 1")
@@ -666,12 +675,13 @@ def reuse_decision(spark, d):
     return c.join(first, "pair_id").groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if(same).alias("reused"))
 
 
-@query("SELECT load_id, c.n AS counted, l.n AS listed, c.n = l.n AS agree FROM (SELECT load_id, count(*) AS n FROM r01_readiness GROUP BY 1) c JOIN (SELECT load_id, sum(CASE WHEN ready IS NULL THEN 1 ELSE 1 END)::BIGINT AS n FROM r01_readiness GROUP BY 1) l USING (load_id)")
+@query("SELECT coalesce(c.load_id, l.load_id) AS load_id, coalesce(c.n, 0) AS counted, coalesce(l.n, 0) AS listed, coalesce(c.n, 0) = coalesce(l.n, 0) AS agree FROM (SELECT load_id, count(DISTINCT pair_id) AS n FROM r01_readiness GROUP BY 1) c FULL JOIN (SELECT load_id, count(DISTINCT pair_id) AS n FROM r01_candidates GROUP BY 1) l ON c.load_id IS NOT DISTINCT FROM l.load_id")
 def counts_agree(spark, d):
-    r = load(spark, d, "r01_readiness")
-    counted = r.groupBy("load_id").agg(F.count("*").alias("counted"))
-    listed = r.groupBy("load_id", "ready").count().groupBy("load_id").agg(F.sum("count").alias("listed"))
-    return counted.join(listed, "load_id").withColumn("agree", COL("counted") == COL("listed"))
+    """Pairs counted in the checks of a load against those its registry lists."""
+    n = lambda t, name: load(spark, d, t).groupBy("load_id").agg(F.count_distinct("pair_id").alias(name))
+    c, l = n("r01_readiness", "counted"), n("r01_candidates", "listed").withColumnRenamed("load_id", "l")
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return c.join(l, COL("load_id").eqNullSafe(COL("l")), "full_outer").select(F.coalesce("load_id", "l").alias("load_id"), zero("counted"), zero("listed"), (F.coalesce("counted", F.lit(0)) == F.coalesce("listed", F.lit(0))).alias("agree"))
 
 
 @query("SELECT load_id, passed, failed, skipped, sha256(string_agg(h, ',' ORDER BY b)) AS ids FROM (SELECT load_id, readiness_id // 1000 AS b, sha256(string_agg(readiness_id::VARCHAR, ',' ORDER BY readiness_id)) AS h FROM r01_readiness GROUP BY 1, 2) JOIN (SELECT load_id, count(*) FILTER (ready = 'yes') AS passed, count(*) FILTER (ready = 'no') AS failed, count(*) FILTER (ready IS NULL OR ready NOT IN ('yes', 'no')) AS skipped FROM r01_readiness GROUP BY 1) USING (load_id) GROUP BY 1, 2, 3, 4")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import patches, predicates, text
-from ledgerloom.operators import drift, orphans, profile, reconcile, sequence
+from ledgerloom.operators import drift, leakage, orphans, profile, reconcile, sequence
 from ledgerloom.sources import files
 
 T = lambda day, h=0: datetime(2026, 1, day, h)
@@ -37,12 +37,18 @@ def test_orphans_long_keys_differ_in_the_last_byte(spark):
             assert found(spark, [(1, column, "k" * (n - 1) + "a", T(9)), (2, column, "k" * (n - 1) + "b", T(9))], [(column, "k" * (n - 1) + "a", T(1), None)]) == [(2, column, "missing")]
 
 
+def test_orphans_keys_with_zero_bytes(spark):
+    assert found(spark, [(1, "p", "a\0", T(9)), (2, "p", "a", T(9))], [("p", "a", T(1), None)]) == [(1, "p", "missing")]
+
+
 def test_orphans_hot_key_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(orphans, "PER_CHUNK", 50)
     monkeypatch.setattr(orphans, "PER_RANGE", 20)
     parents = [("p", f"k{i:03}", T(2), None) for i in range(100)]
     refs = [(i, "p", "k050", T(1 if i % 3 == 0 else 3)) for i in range(400)] + [(1000 + i, "p", f"k{i:03}", T(3)) for i in range(120)]
     got = found(spark, refs, parents)
+    monkeypatch.setattr(orphans, "CASES", 2)  # more ranges than CASE expressions should search
+    assert found(spark, refs, parents) == got
     assert got == sorted([(i, "p", "late") for i in range(0, 400, 3)] + [(1100 + i, "p", "missing") for i in range(20)])
 
 
@@ -74,6 +80,25 @@ def test_quality_empty_and_tiny(spark):
     assert issues(spark, [(1, "L1", "yes", None, None), (2, "L2", "no", None, None)], {"v": ("", "yes|no")}) == {("t", "v", "shift", "L2", 0)}
 
 
+def test_few_columns_are_pointed_at_in_small_loads(spark):
+    """400 rows a load: the test points at the moved columns and at few others; at 50 rows too."""
+    import random
+
+    r, columns = random.Random(3), ["a", "b", "c", "d"]
+    for rows in (400, 50):
+        loads, df = [(f"L{i:02}", i) for i in range(12)], []
+        for i in range(12):
+            for j in range(rows):
+                shifted = r.random() < (0.55 if i % 4 == 2 else 0.05)
+                df.append((i * rows + j, f"L{i:02}", "x" if shifted else r.choice("pqrst"), r.choice(["yes", "no"]), f"v{r.randrange(9)}", None if r.random() < 0.3 else "only"))
+        df = spark.createDataFrame(df, "id bigint, load string, a string, b string, c string, d string")
+        order = spark.createDataFrame(loads, "load string, seq int")
+        got = profile.load_changes(profile.compressed(df, 0, columns, 4, "id", "load", order), {0: 4})
+        moved = {(i, 0) for i in (3, 4, 7, 8, 11, 12)}  # ranks count from 1: a load and the one after it
+        assert {(x["rank"], x["column"]) for _, x in got[got["pointed"]].iterrows()} >= moved
+        assert got["pointed"].mean() < (0.5 if rows == 400 else 0.7)
+
+
 def test_column_changes_of_all_columns(spark):
     loads = spark.createDataFrame([("l1", 1), ("l2", 2), ("l3", 3)], "load_id string, load_seq int")
     # two values that the classifier can't tell apart: both hashes are the same
@@ -212,6 +237,28 @@ def test_patches():
     assert patches.hunks(None) == [] and patches.hunks("no diff\n+x") == []
 
 
+def test_patch_paths():
+    good = {("a/x.py", "a/"): "x.py", ("rename", ""): "rename", ("a/x.py", ""): "a/x.py", ('"b/\\303\\251\\t.txt"', "b/"): None, ('"b/\\303\\251.txt"', "b/"): "é.txt", ("/dev/null", "a/"): None, ("a/x.c\t2026-01-01", "a/"): "x.c", ('"a/q\\"q"', "a/"): 'q"q'}
+    for (text, prefix), want in good.items():
+        if (text, prefix) == ('"b/\\303\\251\\t.txt"', "b/"):
+            with pytest.raises(patches.BadPath):
+                patches.path_of(text, prefix)
+        else:
+            assert patches.path_of(text, prefix) == want
+    for bad in ("a/../../etc/passwd", "/etc/passwd", '"a/x\\q"', '"a/x', '"a/\\377"', "a/", "a//b", "a/./b", '"a/x\\ry"', "a/c:d"):
+        with pytest.raises(patches.BadPath):
+            patches.path_of(bad, "a/")
+
+
+def test_patch_files():
+    moved = "diff --git a/a/x.py b/y.py\nsimilarity index 90%\nrename from a/x.py\nrename to y.py\ndiff --git a/c b/d\ncopy from c\ncopy to d\n"
+    assert [(x[0], x[1], x[2], x[4]) for x in patches.hunks(moved)] == [(1, "a/x.py", "y.py", None), (2, "c", "d", None)]
+    short = "--- a/x\n+++ b/x\n@@ -1,3 +1,2 @@\n a\n-b\n"
+    assert [(x[11], x[12]) for x in patches.hunks(short)] == [(False, True)]
+    unsafe = "--- a/../x\n+++ b/x\n@@ -1,0 +1 @@\n+a\n"
+    assert [(x[1], x[2], x[6], x[11], x[12]) for x in patches.hunks(unsafe)] == [(None, "x", 0, True, False)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k":"1","n":1}\n\n{"k":"2","n":2}\n')
     assert files.strict_jsonl(spark, str(tmp_path / "a.jsonl"), "k string, n int", "k").count() == 2
@@ -326,3 +373,56 @@ def test_leakage_revisions(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert sorted(map(tuple, reference.leakage_revisions(spark, str(tmp_path)).collect())) == [(1, sha(a)), (2, sha(b)), (3, sha(c)), (4, sha(e))]
+
+
+def test_contained_values_is_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcä ") for _ in range(n))
+    values = [word(r.choice([3, 8, 9, 20])) for _ in range(60)] + ["https://one.example/x", "https://one.example/y", None, "", "  ", "ＷＩＤＥ ｖａｌｕｅ"]
+    texts = [(i, word(40) + (r.choice(values) or "") + word(30)) for i in range(80)] + [(100, None), (101, ""), (102, values[0]), (103, "see HTTPS://ONE.EXAMPLE/X now"), (104, "a wide VALUE here"), (105, "x" * 100_000 + "https://one.example/y")]
+    allowed = [values[1], values[2], "other"]
+    import unicodedata
+
+    form = lambda x: unicodedata.normalize("NFKC", x or "").casefold().strip()
+    secrets = {form(v) for v in values} - {form(a) for a in allowed} - {""}
+    want = {(i, v) for i, t in texts if form(t) not in {form(a) for a in allowed} for v in secrets if (v in form(t) if len(v.encode()) >= 8 else v == form(t))}
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    got = leakage.contained_values(df(texts, "id bigint, text string"), df([(v,) for v in values], "value string"), df([(a,) for a in allowed], "value string")).collect()
+    assert len(got) == len(set(map(tuple, got))) and {tuple(x) for x in got} == want and len(want) > 10
+    assert leakage.contained_values(df([], "id bigint, text string"), df([], "value string"), df([], "value string")).isEmpty()
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), float(r.randrange(1000)) if r.random() < 0.9 else None) for _ in range(500)] + [("none", None), ("one", 7.0)]
+    n = F.col("n")
+    got = {x.g: (x.mid, x.p95) for x in sequence.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"mid": (n + 1) / 2, "p95": (n - 1) * F.lit(0.95) + 1}, span=37).collect()}
+    for g in ("a", "b", None, "one"):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert np.allclose(got[g], (np.median(v), np.quantile(v, 0.95)))
+    assert "none" not in got
+
+
+def test_strict_lines_name_the_place(spark, tmp_path):
+    good = '{"k":"1","n":1}\n'
+    for bad in ('{"k":"1","n":"x"}', '{"k":"1","n":1,"z":2}', '{"k":"1"', '{"k":"1","k":"2","n":1}', "[1]", '{"k":"1","n":NaN}'):
+        (tmp_path / "x.jsonl").write_text(good + "\n" + bad + "\n" + good)
+        with pytest.raises(ValueError, match="x.jsonl:3"):
+            files.strict_jsonl(spark, str(tmp_path / "x.jsonl"), "k string, n int")
+    (tmp_path / "x.jsonl").write_text(good + '{"k":null,"n":2}\n')
+    assert files.strict_jsonl(spark, str(tmp_path / "x.jsonl"), "k string, n int").count() == 2
+
+
+def test_replay_of_evidence(spark):
+    """Supported, then countered; no material; the budget taking a decision back; an undecided finish."""
+    rows = [("s", 1, "sup"), ("s", 2, "fin"), ("c", 1, "sup"), ("c", 2, "cnt"), ("c", 3, "fin"), ("i", 1, "sup"), *(("b", k, "sup") for k in range(1, 6)), ("u", 1, "fin")]
+    k = F.col("k")
+    update = sequence.evidence_update(support=F.when(k == "sup", 1), counter=F.when(k == "cnt", 1), status=F.when(k == "sup", "supported"), revision=F.when(k == "cnt", "refuted"), terminal=F.when(k == "fin", "FINISH"))
+    got = {x.c: (x.reads, x.status, x.terminal, x.reason) for x in sequence.evidence_replay(spark.createDataFrame(rows, "c string, o int, k string"), ["c"], "o", update, 4).collect()}
+    assert got == {"s": (2, "supported", "FINISH", None), "c": (3, "refuted", "FINISH", None), "i": (1, "unresolved", "UNRESOLVED", "insufficient_material"), "b": (4, "unresolved", "UNRESOLVED", "budget_exhausted"), "u": (1, "unresolved", "UNRESOLVED", "insufficient_material")}
