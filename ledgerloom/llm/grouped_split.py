@@ -7,7 +7,7 @@ picked form a persisted spanning forest. Components are then dealt to splits by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,11 +48,12 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return labels
 
 
-def linked_groups(df: DataFrame, id_col="record_id", family="project_family", pair="pair_id", split_col="split") -> tuple[DataFrame, DataFrame]:
+def linked_groups(df: DataFrame, id_col="record_id", family="project_family", pair="pair_id", split_col="split", forest: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (id, node, split) and nodes (node, root, rows, lo, hi): the linked group of a row is its node's root.
 
     ``lo`` and ``hi`` are the least and greatest present split of the node's rows (null: none). Null or blank
-    keys link nothing; a row without keys is its own group. Repeated rows belong to the same group.
+    keys link nothing; a row without keys is its own group. Repeated rows belong to the same group. The spanning
+    forest (lo, hi), edges between families and pairs, is kept in the folder ``forest`` if one is given.
     """
     scratch = Scratch(df.sparkSession, "groups")
     key = lambda mark, c: F.concat(F.lit(mark), c)
@@ -70,7 +71,16 @@ def linked_groups(df: DataFrame, id_col="record_id", family="project_family", pa
     rows = rows.union(node(keyless, F.concat(F.lit("r:"), F.col("id").cast("string"))))
     nodes = rows.groupBy("node").agg(F.count("*").alias("rows"), F.min("split").alias("lo"), F.max("split").alias("hi"))
     nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rows", "lo", "hi")
-    return rows, scratch.save(nodes, "nodes")
+    nodes = scratch.save(nodes, "nodes")
+    if forest:
+        df.sparkSession.read.schema("lo string, hi string").parquet(scratch.path("forest")).write.mode("overwrite").parquet(forest)
+    scratch.drop("pairs", "edges-0")
+    return rows, nodes
+
+
+def forest_groups(forest: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of a persisted forest: groups can be told again, or joined by new edges, without the rows."""
+    return spanning_forest(forest.select(F.col("lo").alias("u"), F.col("hi").alias("v")), scratch)
 
 
 def broken_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,28 +89,49 @@ def broken_groups(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.join(bad, "root", "left_semi").select("node"), "node", "left_semi").select("id")
 
 
-def _position(order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy("band", "bucket").orderBy(order))
+#: Groups of more than this part of all rows are dealt one by one, so there are at most as many of them; the rest is
+#: dealt along so many rounds through the splits.
+LARGE, ROUNDS = 2000, 64
+
+
+def _greedy(large: list, wanted: dict[str, float]) -> tuple[list[tuple[str, str]], dict[str, float]]:
+    """Largest group first, to the split that lacks the most rows; and what the splits still lack."""
+    left, out = dict(wanted), []
+    for r in large:
+        split = max(left, key=lambda s: left[s])
+        out.append((r.root, split))
+        left[split] -= r.rows
+    return out, {s: max(0.0, x) for s, x in left.items()}
 
 
 def deal(nodes: DataFrame, proportions=PROPORTIONS, buckets: int = 256) -> DataFrame:
-    """(node, root, dealt): groups are dealt to splits in the given proportions, one split per group.
+    """(node, root, dealt): groups are dealt to splits, one split per group, so that the splits' rows have the proportions.
 
     Groups are stratified by size band (powers of two), ordered within a band by a hash of the root and dealt
-    along a low-discrepancy sequence that runs on from band to band. Numbering is by bucket with offsets, so no
-    task orders a whole band.
+    systematically along their running number of rows, as far as the large groups, which are dealt first and one by one,
+    have left room in each split. Running sums are by bucket with offsets, so no task orders a whole band. A group
+    larger than a split makes that split's share unreachable; it goes where most rows are lacking.
     """
-    total = sum(p for _, p in proportions)
+    spark = nodes.sparkSession
     roots = nodes.groupBy("root").agg(F.sum("rows").alias("rows"))
-    roots = roots.select("root", F.floor(F.log2("rows")).cast("int").alias("band"), F.xxhash64("root").alias("h"))
-    roots = roots.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    sizes = roots.groupBy("band", "bucket").agg(F.count("*").alias("n"))  # at most 64 bands times buckets
+    total = roots.agg(F.sum("rows")).head()[0] or 0
+    whole = sum(p for _, p in proportions)
+    large = roots.filter(F.col("rows") * LARGE > total).orderBy(F.desc("rows"), "root").collect()  # fewer than LARGE
+    fixed, left = _greedy(large, {s: total * p / whole for s, p in proportions})
+    rest = sum(left.values())
+    shares = [(s, left[s] / rest if rest else p / whole) for s, p in proportions]
+    small = roots.filter(F.col("rows") * LARGE <= total).select("root", "rows", F.floor(F.log2("rows")).cast("int").alias("band"), F.xxhash64("root").alias("h"))
+    small = small.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    sizes = small.groupBy("band", "bucket").agg(F.sum("rows").alias("n"))  # at most 64 bands times buckets
     order = Window.orderBy(F.desc("band"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("band", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    x = (F.col("before") + _position(F.struct("h", "root")) - 0.5) * F.lit(0.6180339887498949)
-    roots = roots.join(F.broadcast(offsets), ["band", "bucket"]).withColumn("x", x - F.floor(x))
-    name, upto = F.lit(proportions[-1][0]), total
-    for (split, _), (_, share) in zip(reversed(proportions[:-1]), reversed(proportions)):
+    own = F.sum("rows").over(Window.partitionBy("band", "bucket").orderBy("h", "root").rowsBetween(Window.unboundedPreceding, 0))
+    count = max(1, total - sum(r.rows for r in large))
+    x = (F.col("before") + own - F.col("rows") / 2) * F.lit(ROUNDS / count)
+    small = small.join(F.broadcast(offsets), ["band", "bucket"]).withColumn("x", x - F.floor(x))
+    name, upto = F.lit(shares[-1][0]), 1.0
+    for (split, _), (_, share) in zip(reversed(shares[:-1]), reversed(shares)):
         upto -= share
-        name = F.when(F.col("x") < upto / total, F.lit(split)).otherwise(name)
-    return nodes.join(roots.select("root", name.alias("dealt")), "root").select("node", "root", "dealt")
+        name = F.when(F.col("x") < upto, F.lit(split)).otherwise(name)
+    dealt = small.select("root", name.alias("dealt")).union(spark.createDataFrame(fixed, "root string, dealt string"))
+    return nodes.join(dealt, "root").select("node", "root", "dealt")

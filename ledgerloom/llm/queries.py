@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.grouped_split import broken_groups, deal, linked_groups
+from ledgerloom.llm.grouped_split import broken_groups, deal, forest_groups, linked_groups
 from ledgerloom.llm.history import batch_duplicates
 from ledgerloom.llm.mixing import draw_mix
 from ledgerloom.llm.overlap import cross_split_classes, cross_split_pairs, overlap_report
 from ledgerloom.llm.subjects import document_subjects, subject_composition
 from ledgerloom.llm.tokens import encoded, round_trip, token_counts
+from ledgerloom.session import Scratch
 from ledgerloom.sources.tables import load
 
 
@@ -46,6 +47,17 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.round(F.col("n_rows") / F.col("total"), 6).alias("share"))  # one row of totals
 
 
+def p4_forest(spark: SparkSession, d: str) -> DataFrame:
+    """How many trees of each size the persisted forest has, with their edges."""
+    scratch = Scratch(spark, "forest")
+    linked_groups(load(spark, d, "r01_candidates"), forest=scratch.path("kept"))
+    kept = spark.read.parquet(scratch.path("kept")).distinct()
+    labels = forest_groups(kept, scratch)
+    edges = kept.join(labels.withColumnRenamed("node", "lo"), "lo").groupBy("root").agg(F.count("*").alias("n_edges"))
+    trees = labels.groupBy("root").agg(F.count("*").alias("n_nodes")).join(edges, "root")
+    return trees.groupBy("n_nodes", "n_edges").agg(F.count("*").alias("n_trees"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(load(spark, d, "documents"))
 
@@ -76,7 +88,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subject_composition(load(spark, d, "documents"), p9_found(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_composition)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p3_found, p4_found, p4_assignment, p4_balance, p4_forest, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_composition)}
 
 
 def _revision_sql(c: str) -> str:
@@ -144,6 +156,7 @@ grouped AS (SELECT record_id, split, coalesce(roots.root, 'p:' || g.p, 'r:' || r
 ORACLE: dict[str, str] = {
     "p3_found": _history_sql(),
     "p4_found": f"{_groups_sql()} SELECT record_id FROM grouped WHERE root IN (SELECT root FROM grouped GROUP BY 1 HAVING count(DISTINCT split) > 1)",
+    "p4_forest": f"{_groups_sql()}, tree AS (SELECT roots.root, count(DISTINCT f) AS fs FROM roots GROUP BY 1), hung AS (SELECT r.root, count(*) AS ps FROM pairs JOIN roots r USING (f) GROUP BY 1) SELECT fs + ps AS n_nodes, fs + ps - 1 AS n_edges, count(*) AS n_trees FROM tree JOIN hung USING (root) GROUP BY 1, 2",
     "p1_found": f"{_overlap_sql()} SELECT least(e_id, t_id) AS record_id_a, greatest(e_id, t_id) AS record_id_b FROM pairs",
     "p1_report": f"{_overlap_sql()}, hits AS (SELECT e_id, count(*) AS n FROM pairs GROUP BY 1) SELECT lower(trim(split)) AS split, nullif(lower(trim(dataset_origin)), '') AS source, count(*) AS eval_rows, count(n) AS overlapping_rows, coalesce(sum(n), 0)::BIGINT AS pairs, round(count(n) / count(*), 6) AS overlap_share FROM r01_candidates LEFT JOIN hits ON e_id = record_id WHERE lower(trim(split)) IN ('dev_pilot', 'dev', 'time_ood_test') GROUP BY 1, 2",
 }
