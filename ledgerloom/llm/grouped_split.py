@@ -74,7 +74,6 @@ def linked_groups(df: DataFrame, id_col="record_id", family="project_family", pa
     nodes = scratch.save(nodes, "nodes")
     if forest:
         df.sparkSession.read.schema("lo string, hi string").parquet(scratch.path("forest")).write.mode("overwrite").parquet(forest)
-    scratch.drop("pairs", "edges-0")
     return rows, nodes
 
 
