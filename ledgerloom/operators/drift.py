@@ -1,7 +1,7 @@
 """Schemas that drift between files of JSON lines.
 
 Each file's schema is a tree of fields with types and content sketches. Consecutive trees of a stream are
-compared by an edit script of least cost (add, remove, rename or move, retype); the scripts compile into
+compared by tree edit distance (add, remove, rename, move, retype); the scripts of least cost compile into
 projections that read every file into one table.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from ledgerloom.session import Scratch, ship
 
 BINS = 64
+#: Between the keys of a path, and after an array. Control characters, so that keys may hold dots and brackets.
+SEP, EACH = "\x1f", "\x1e"
 #: The kinds of string content, tried in this order.
 KINDS = {
     "blank": r"\s*",
@@ -52,6 +54,22 @@ class _Sketch:
         self.types, self.kinds, self.bins, self.inner = {}, {}, {}, 0
 
 
+def _key(k: str) -> str:
+    return k.replace(SEP, "\ufffd").replace(EACH, "\ufffd") if SEP in k or EACH in k else k
+
+
+def shown(path: str) -> str:
+    """Path as reports write it: dotted, with ``[]`` after an array; keys with dots, brackets or backticks are quoted."""
+    key = lambda k: "`" + k.replace("`", "``") + "`" if re.search(r"[.\[\]`]", k) or not k else k
+    parts = [(k.rstrip(EACH), len(k) - len(k.rstrip(EACH))) for k in path.split(SEP)]
+    return ".".join(key(k) + "[]" * n for k, n in parts) if path else ""
+
+
+def json_path(path: str) -> str:
+    """Path for Spark's JSON functions."""
+    return "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in path.split(SEP))
+
+
 def _note(fields: dict, path: str, v, memo: dict) -> None:
     s = fields.get(path)
     if s is None:
@@ -64,15 +82,15 @@ def _note(fields: dict, path: str, v, memo: dict) -> None:
     s.types[name] = s.types.get(name, 0) + 1
     if t is dict:
         for k, x in v.items():
-            _note(fields, f"{path}.{k}", x, memo)
+            _note(fields, f"{path}{SEP}{_key(k)}", x, memo)
         return
     if t is list:
-        at = path + "[]"
+        at = path + EACH
         for x in v:
             if type(x) is dict:
                 s.inner += 1
                 for k, y in x.items():
-                    _note(fields, f"{at}.{k}", y, memo)
+                    _note(fields, f"{at}{SEP}{_key(k)}", y, memo)
             elif x is not None:
                 kind, b = _content(x, memo)
                 s.kinds[kind] = s.kinds.get(kind, 0) + 1
@@ -118,7 +136,7 @@ def _sketches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 fields = files.setdefault((stream, file), {})
                 fields.setdefault("", _Sketch()).types["object"] = 1
                 for k, x in v.items():
-                    _note(fields, k, x, memo)
+                    _note(fields, _key(k), x, memo)
     out = [(s, f, p, json.dumps([x.types, x.kinds, x.bins, x.inner])) for (s, f), fields in files.items() for p, x in fields.items()]
     if out:
         yield pd.DataFrame(out, columns=["stream", "file_name", "path", "sketch"])
@@ -150,16 +168,16 @@ def _type(s: _Sketch) -> str | None:
 
 
 def _parent(path: str) -> str:
-    return path.rpartition(".")[0]
+    return path.rpartition(SEP)[0]
 
 
 def _holds_fields(fields: dict, parent: str) -> bool:
     """The parent is an object (or array of objects) in this file, so that what lies under it can be told."""
     while parent:
-        s = fields.get(parent.removesuffix("[]"))
-        if s is None or (not s.inner if parent.endswith("[]") else _type(s) != "object"):
+        s = fields.get(parent.rstrip(EACH))
+        if s is None or (not s.inner if parent.endswith(EACH) else _type(s) != "object"):
             return False
-        parent = _parent(parent.removesuffix("[]"))
+        parent = _parent(parent.rstrip(EACH))
     return True
 
 
@@ -175,7 +193,7 @@ def _few(s: _Sketch) -> bool:
 
 
 def _words(path: str) -> set[str]:
-    return set(re.findall(r"[a-z]+|\d+", re.sub(r"([a-z\d])([A-Z])", r"\1_\2", path.rpartition(".")[2]).lower()))
+    return set(re.findall(r"[a-z]+|\d+", re.sub(r"([a-z\d])([A-Z])", r"\1_\2", path.rpartition(SEP)[2]).lower()))
 
 
 def _rename_cost(a: dict, p: str, b: dict, q: str) -> float | None:
@@ -187,7 +205,7 @@ def _rename_cost(a: dict, p: str, b: dict, q: str) -> float | None:
     names = _words(p), _words(q)
     alike = len(names[0] & names[1]) / max(1, min(map(len, names)))
     if t == "object" or (t == "array" and (x.inner or y.inner)):
-        under = [{f[len(r):].lstrip("[]") for f in fields if f.startswith((r + ".", r + "[].")) } for fields, r in ((a, p), (b, q))]
+        under = [{f[len(r):].lstrip(EACH) for f in fields if f.startswith((r + SEP, r + EACH + SEP))} for fields, r in ((a, p), (b, q))]
         same = len(under[0] & under[1]) / max(1, len(under[0] | under[1]))
     elif t == "array" and not (x.kinds and y.kinds):
         same = alike
@@ -228,27 +246,116 @@ def _assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
+class _Edit:
+    """Tree edit distance of two schemas: unordered trees, children matched under matched parents.
+
+    A node costs 1 to remove or add, so a subtree costs its size; a retype costs 1, a rename less than removing and
+    adding, by how alike name and content are. The children of two matched nodes are assigned at least total cost,
+    each pair at the distance of its subtrees. A move takes a whole subtree from one parent to another.
+    """
+
+    RETYPE, MOVE = 1.0, 0.2
+
+    def __init__(self, a: dict[str, _Sketch], b: dict[str, _Sketch]):
+        self.a, self.b = a, b
+        self.under = [self._children(t) for t in (a, b)]
+        self.sizes: dict[tuple[int, str], float] = {}
+        self.known: dict[tuple[str, str], tuple[float, list[tuple[str | None, str | None]]] | None] = {}
+
+    @staticmethod
+    def _children(fields: dict[str, _Sketch]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for p in sorted(fields):
+            if p:
+                out.setdefault(_parent(p).rstrip(EACH), []).append(p)
+        return out
+
+    def size(self, side: int, p: str) -> float:
+        key = (side, p)
+        if key not in self.sizes:
+            self.sizes[key] = 1.0 + sum(self.size(side, c) for c in self.under[side].get(p, []))
+        return self.sizes[key]
+
+    def _node(self, p: str, q: str) -> float | None:
+        """Cost of turning node p into q without their children; None: they can't be one field."""
+        if p.rpartition(SEP)[2] == q.rpartition(SEP)[2]:
+            t, u = _type(self.a[p]), _type(self.b[q])
+            return self.RETYPE if t and u and t != u else 0.0
+        return _rename_cost(self.a, p, self.b, q)
+
+    def distance(self, p: str, q: str) -> float | None:
+        found = self._match(p, q)
+        return None if found is None else found[0]
+
+    def _match(self, p: str, q: str) -> tuple[float, list[tuple[str | None, str | None]]] | None:
+        """(distance of the subtrees, pairs of their children; None on a side: removed or added)."""
+        key = (p, q)
+        if key not in self.known:
+            node = self._node(p, q) if p else 0.0
+            if node is None:
+                self.known[key] = None
+            else:
+                cost, pairs = self._assigned(self.under[0].get(p, []), self.under[1].get(q, []))
+                self.known[key] = (node + cost, pairs)
+        return self.known[key]
+
+    def _assigned(self, ps: list[str], qs: list[str], move: float = 0.0) -> tuple[float, list[tuple[str | None, str | None]]]:
+        """Least-cost pairs of subtrees. Fields of one name under one parent are one field unless that costs more than both."""
+        n, m = len(ps), len(qs)
+        if not n or not m:
+            return sum(self.size(0, p) for p in ps) + sum(self.size(1, q) for q in qs), [(p, None) for p in ps] + [(None, q) for q in qs]
+        never = 1e6
+        cost = np.full((n, m + n), never)  # the added cost of not adding q is taken off, so that rows alone are assigned
+        for i, p in enumerate(ps):
+            cost[i, m + i] = self.size(0, p)
+            for j, q in enumerate(qs):
+                same = not move and p.rpartition(SEP)[2] == q.rpartition(SEP)[2]
+                d = self.distance(p, q)
+                if d is not None and (same or d + move < self.size(0, p) + self.size(1, q)):
+                    cost[i, j] = (-1e3 if same else d + move) - self.size(1, q)
+        pairs = [(ps[i], qs[j]) for i, j in _assign(cost) if j < m and cost[i, j] < never / 2]
+        gone, come = [p for p in ps if p not in {x for x, _ in pairs}], [q for q in qs if q not in {x for _, x in pairs}]
+        total = sum(self.distance(p, q) + move for p, q in pairs) + sum(self.size(0, p) for p in gone) + sum(self.size(1, q) for q in come)
+        return total, pairs + [(p, None) for p in gone] + [(None, q) for q in come]
+
+    def script(self) -> tuple[float, list[tuple[str, str, str]]]:
+        """(distance, edits): retypes, renames, moves, removals and additions from the roots downwards."""
+        out, gone, come, todo = [], [], [], [("", "")]
+        while todo:
+            p, q = todo.pop()
+            for x, y in self._match(p, q)[1]:
+                if x is None or y is None:
+                    (gone if y is None else come).append(y if x is None else x)
+                    continue
+                changed = _type(self.a[x]) and _type(self.b[y]) and _type(self.a[x]) != _type(self.b[y])
+                if x.rpartition(SEP)[2] != y.rpartition(SEP)[2]:
+                    out.append(("renamed", x, y))
+                elif changed:
+                    out.append(("retyped", x, ""))
+                if not changed:
+                    todo.append((x, y))
+        moved = [(x, y) for x, y in self._assigned(sorted(gone), sorted(come), self.MOVE)[1] if x is not None and y is not None]
+        out += [("moved", x, y) for x, y in moved]
+        out += [("removed", x, "") for x in gone if x not in {x for x, _ in moved}]
+        out += [("added", y, "") for y in come if y not in {y for _, y in moved}]
+        return self._match("", "")[0], sorted(out)
+
+
 def edit_script(a: dict[str, _Sketch], b: dict[str, _Sketch]) -> list[tuple[str, str, str]]:
-    """(change_kind, field_path, new_path) that turn schema ``a`` into ``b`` at least cost.
+    """(change_kind, field_path, new_path) that turn schema ``a`` into ``b`` at least cost, as they are reported.
 
-    Fields of one name under one parent are the same field (cost 0, or a retype). The others are removed and
-    added at 1 each, or paired as renames and moves where the type and kind of content agree.
+    Only fields whose parents are objects in both schemas, under names that both have, are told: when an object comes,
+    goes, changes type or is renamed, what lies under it isn't. A move is a rename to another parent.
     """
-    out = [("retyped", p, "") for p in a.keys() & b.keys() if p and _type(a[p]) and _type(b[p]) and _type(a[p]) != _type(b[p])]
     seen = lambda p: _holds_fields(a, _parent(p)) and _holds_fields(b, _parent(p))
-    gone, come = sorted(p for p in a.keys() - b.keys() if seen(p)), sorted(p for p in b.keys() - a.keys() if seen(p))
-    out = [x for x in out if seen(x[1])]
-    pairs = []
-    if gone and come:
-        cost = np.full((len(gone), len(come) + len(gone)), 2.0)
-        for i, p in enumerate(gone):
-            for j, q in enumerate(come):
-                c = _rename_cost(a, p, b, q)
-                cost[i, j] = 9.0 if c is None else c
-        pairs = [(gone[i], come[j]) for i, j in _assign(cost) if j < len(come)]
-    out += [("renamed", p, q) for p, q in pairs]
-    out += [("removed", p, "") for p in gone if p not in {x for x, _ in pairs}]
-    out += [("added", q, "") for q in come if q not in {x for _, x in pairs}]
+    script = _Edit(a, b).script()[1]
+    out = []
+    for kind, p, q in script:
+        if kind in ("renamed", "moved"):
+            if seen(p) and seen(q):
+                out.append(("renamed", p, q))
+        elif seen(p):
+            out.append((kind, p, q))
     return sorted(out)
 
 
@@ -260,7 +367,12 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(stream, file, *x) for x in script], columns=["stream", "file_name", "change_kind", "field_path", "new_path"])
 
 
-def schema_changes(lines: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+def _compare_shown(rows: pd.DataFrame) -> pd.DataFrame:
+    out = _compare(rows)
+    return out.assign(field_path=out["field_path"].map(shown), new_path=out["new_path"].map(shown))
+
+
+def schema_changes(lines: DataFrame, sketches: DataFrame | None = None, compare=_compare_shown) -> DataFrame:
     """(stream, file_name, change_kind, field_path, new_path) between each file and the one before it in its stream.
 
     ``lines`` has (stream, file_name, body). Unreadable lines and lines that are no object say nothing; a file
@@ -271,7 +383,7 @@ def schema_changes(lines: DataFrame, sketches: DataFrame | None = None) -> DataF
     files = files.withColumn("rank", F.row_number().over(Window.partitionBy("stream").orderBy("file_name")))
     rows = (field_sketches(lines) if sketches is None else sketches).join(files, ["stream", "file_name"])
     rows = rows.withColumn("at", F.explode(F.array("rank", F.col("rank") + 1)))  # as the later and as the earlier file
-    return rows.groupBy("stream", "at").applyInPandas(_compare, "stream string, file_name string, change_kind string, field_path string, new_path string")
+    return rows.groupBy("stream", "at").applyInPandas(compare, "stream string, file_name string, change_kind string, field_path string, new_path string")
 
 
 # ---- projections
@@ -309,7 +421,7 @@ def field_history(changes: list[tuple[str, str, str, str]], files: list[str], la
                 bare.add(begin(p, i))
         for _, kind, path, new in [c for c in changes if i and c[0] == files[i]]:
             if kind == "renamed":
-                for p in [p for p in until if p == new or p.startswith((new + ".", new + "[]"))]:
+                for p in [p for p in until if p == new or p.startswith((new + SEP, new + EACH))]:
                     final = close(p, i)
                     until[path + p[len(new):]] = (final, i - 1)
             elif kind == "added" and path in until:
@@ -321,35 +433,83 @@ def field_history(changes: list[tuple[str, str, str, str]], files: list[str], la
     return spans
 
 
-def projection(v: Column, file_name: Column, spans: list[tuple[int, int, str, bool]], files: list[str]) -> Column:
+def _texts(lines: DataFrame, paths: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``lines`` with the text at each path in a column of its own (by name). Each object is parsed once for all its fields."""
+    parents: dict[str, set[str]] = {}
+    for p in paths:
+        while p:
+            above, _, key = p.rpartition(SEP)
+            parents.setdefault(above, set()).add(key)
+            p = above
+    names = {"": "body"}
+    for above in sorted(parents, key=lambda p: (p.count(SEP) + bool(p), p)):
+        keys = sorted(parents[above])
+        own = [f"_t{len(names) + i}" for i in range(len(keys))]
+        lines = lines.select("*", F.json_tuple(names[above], *keys).alias(*own))
+        names |= {f"{above}{SEP}{k}" if above else k: c for k, c in zip(keys, own)}
+    return lines, names
+
+
+def projection(texts: dict[str, str], body: Column, file_name: Column, spans: list[tuple[int, int, str, bool]], files: list[str]) -> Column:
     """The field's text in each file, read from where it stood then; arrays and objects as JSON."""
     out = F.lit(None).cast("string")
     for first, end, path, objects in spans:
-        value = F.get_json_object(v, "$." + path)
+        value = F.col(texts[path])
         if not objects:
-            value = F.when(~F.schema_of_variant(F.try_variant_get(F.try_parse_json(v), "$." + path, "variant")).startswith("OBJECT"), value)
+            value = F.when(~F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), json_path(path), "variant")).startswith("OBJECT"), value)
         out = F.when(file_name.between(files[first], files[end]), value).otherwise(out)
     return out
 
 
-def unified_table(lines: DataFrame, stream: str) -> DataFrame:
-    """One row per readable line of the stream, one string column per field outside arrays of objects.
+_READABLE = r"^\s*\{"
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(stream, raw_id, file_name, line_no, reason) of the lines that no table holds: 'null', 'unreadable' or 'no object'."""
+    reason = F.when(F.col("body").isNull(), "null").when(F.try_parse_json("body").isNull(), "unreadable").when(~F.col("body").rlike(_READABLE), "no object")
+    return lines.select("stream", "raw_id", "file_name", "line_no", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def _typed(text: Column, types: set[str], whole: bool) -> Column:
+    """The text in the one type that all files gave it; text where they differ."""
+    if types == {"boolean"}:
+        return text.cast("boolean")
+    if types == {"number"}:
+        return text.try_cast("bigint" if whole else "double")
+    return text
+
+
+def unified_table(lines: DataFrame, stream: str, typed: bool = False) -> DataFrame:
+    """One row per readable line of the stream, one column per field outside arrays of objects.
 
     Columns are named by the field's last path (dots as ``__``); a field that was renamed or moved is one
     column, one that ended keeps its column. A field that becomes an object keeps a column for the values before;
-    the object's fields have their own. Values are as written; null where the file has no such field.
+    the object's fields have their own. Values are as written; null where the file has no such field. With ``typed``,
+    fields that are numbers or booleans in all files are BIGINT, DOUBLE or BOOLEAN, and a field whose type changes is
+    reconciled to text. Lines that can't be read are told by ``rejected_lines``.
     """
     lines = lines.filter((F.col("stream") == stream) & F.col("file_name").isNotNull())
     sketches = Scratch(lines.sparkSession, "drift").save(field_sketches(lines), "sketches")
-    changes = [tuple(r)[1:] for r in schema_changes(lines, sketches).collect()]  # schemas, not records
+    changes = [tuple(r)[1:] for r in schema_changes(lines, sketches, _compare).collect()]  # schemas, not records
     files = [r[0] for r in lines.select("file_name").distinct().orderBy("file_name").collect()]
-    fields = _tree(sketches.filter(F.col("file_name") == files[-1]).select("path", "sketch").toPandas()) if files else {}
-    leaf = {p: _type(s) for p, s in fields.items() if p and "[]" not in p and _type(s) != "object"}
-    valued = sketches.filter(~F.col("path").contains("[]") & F.get_json_object("sketch", "$[0]").rlike('"(?:string|number|boolean|array)"'))
-    held: dict[str, set[str]] = {f: set() for f in files}
-    for r in valued.select("file_name", "path").distinct().collect():  # schemas, not records
-        held[r.file_name].add(r.path)
-    spans = field_history([c for c in changes if "[]" not in c[2]], files, leaf, [held[f] for f in files])
-    readable = F.try_parse_json("body").isNotNull() & F.col("body").rlike(r"^\s*\{")
-    cols = [projection(F.col("body"), F.col("file_name"), s, files).alias(re.sub(r"\W+", "__", p)) for p, s in sorted(spans.items()) if s]
-    return lines.filter(readable).select("raw_id", "file_name", "line_no", *cols)
+    trees: dict[str, dict[str, _Sketch]] = {f: {} for f in files}
+    for f, g in sketches.select("file_name", "path", "sketch").toPandas().groupby("file_name"):  # schemas, not records
+        trees[f] = _tree(g)
+    fields = trees[files[-1]] if files else {}
+    leaf = {p: _type(s) for p, s in fields.items() if p and EACH not in p and _type(s) != "object"}
+    held = [{p for p, s in trees[f].items() if p and EACH not in p and set(s.types) - {"null", "object"}} for f in files]
+    spans = {p: s for p, s in field_history([c for c in changes if EACH not in c[2]], files, leaf, held).items() if s}
+    readable = F.try_parse_json("body").isNotNull() & F.col("body").rlike(_READABLE)
+    rows, texts = _texts(lines.filter(readable).select("raw_id", "file_name", "line_no", "body"), {x[2] for s in spans.values() for x in s})
+    cols, taken = [], set()
+    for p, s in sorted(spans.items()):
+        c = projection(texts, F.col("body"), F.col("file_name"), s, files)
+        if typed:
+            seen = [trees[files[i]][path] for first, end, path, _ in s for i in range(first, end + 1) if path in trees[files[i]]]
+            c = _typed(c, {t for x in seen for t in x.types if t != "null"}, all(k[0] == "i" for x in seen for k in x.kinds))
+        name = re.sub(r"\W+", "__", shown(p).replace("`", ""))
+        while name in taken:  # two keys that differ only in signs
+            name += "_"
+        taken.add(name)
+        cols.append(c.alias(name))
+    return rows.select("raw_id", "file_name", "line_no", *cols)

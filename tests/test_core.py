@@ -148,6 +148,79 @@ def test_drift(spark):
     assert changes(spark, [{"a": True}] * 9, [{"b": "text of another kind"}] * 9) == [("f01", "added", "b", ""), ("f01", "removed", "a", "")]
 
 
+def test_drift_of_dotted_keys(spark):
+    assert changes(spark, [{"a.b": 1}], [{"a": {"b": 1}}]) == [("f01", "added", "a", ""), ("f01", "removed", "`a.b`", "")]
+    assert changes(spark, [{"x[]": 1, "y": "k"}], [{"x[]": 1, "y": "k", "z.": None}]) == [("f01", "added", "`z.`", "")]
+    got = unified(spark, [{"a.b": 1, "a": {"b": "in"}}], [{"a.b": 2, "a": {"b": "in"}, "a_b": True}])
+    assert sorted(map(str, got[1].asDict().values())) == sorted(["100", "f1", "0", "2", "in", "true"])
+
+
+def test_subtrees_are_moved_and_matched(spark):
+    box = lambda i: {"width": i, "colour": f"c-{i}", "sides": [{"kind": "flat"}]}
+    old = [{"in": {"box": box(i), "n": i}, "out": {"m": 1}} for i in range(20)]
+    new = [{"in": {"n": i}, "out": {"m": 1, "box": box(i)}} for i in range(20)]
+    assert changes(spark, old, new) == [("f01", "renamed", "in.box", "out.box")]
+    # a renamed object keeps its children: one edit, not one a field; what is new in it isn't told
+    renamed = [{"in": {"crate": {**box(i), "depth": 1}, "n": i}, "out": {"m": 1}} for i in range(20)]
+    assert changes(spark, old, renamed) == [("f01", "renamed", "in.box", "in.crate")]
+
+
+def test_edit_distance_is_least():
+    """Against all ways to match children under matched parents, on small trees."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+
+    def tree(depth=0):
+        return {k: tree(depth + 1) if depth < 2 and r.random() < 0.4 else None for k in r.sample("abcd", r.randrange(1, 4))}
+
+    def sketches(t, at="", out=None):
+        out = {} if out is None else out
+        for k, v in t.items():
+            s = out[f"{at}{drift.SEP}{k}" if at else k] = drift._Sketch()
+            s.types = {"object": 1} if v is not None else {"string": 1}
+            s.kinds = {} if v is not None else {"kind" + k: 1}
+            if v is not None:
+                sketches(v, f"{at}{drift.SEP}{k}" if at else k, out)
+        return out
+
+    size = lambda t: 0 if t is None else sum(1 + size(v) for v in t.values())
+
+    def least(e, p, q, s, t):
+        """Fields of one name are one field; the others are matched in every possible way."""
+        ps, qs = list(s or {}), list(t or {})
+        child = lambda at, k: f"{at}{drift.SEP}{k}" if at else k
+        total, best = 0.0, None
+        for k in set(ps) & set(qs):
+            total += e._node(child(p, k), child(q, k)) + least(e, child(p, k), child(q, k), s[k], t[k])
+        ps, qs = [k for k in ps if k not in qs], [k for k in qs if k not in ps]
+        for n in range(min(len(ps), len(qs)) + 1):
+            for some in itertools.combinations(ps, n):
+                for other in itertools.permutations(qs, n):
+                    costs = [e._node(child(p, x), child(q, y)) for x, y in zip(some, other)]
+                    if None in costs:
+                        continue
+                    c = sum(costs) + sum(least(e, child(p, x), child(q, y), s[x], t[y]) for x, y in zip(some, other))
+                    c += sum(1 + size(s[x]) for x in ps if x not in some) + sum(1 + size(t[y]) for y in qs if y not in other)
+                    best = c if best is None else min(best, c)
+        return total + best
+
+    for _ in range(60):
+        a, b = tree(), tree()
+        e = drift._Edit(sketches(a), sketches(b))
+        assert abs(e.script()[0] - least(e, "", "", a, b)) < 1e-9
+
+
+def test_typed_columns_and_rejects(spark):
+    rows = [(1, "s", "f0", 1, '{"n": 1, "x": 1.5, "b": true, "t": 7}'), (2, "s", "f1", 1, '{"n": 2, "x": 2, "b": false, "t": "seven"}'), (3, "s", "f1", 2, "{cut"), (4, "s", "f1", 3, "[1]"), (5, "s", "f1", 4, None)]
+    df = spark.createDataFrame(rows, "raw_id bigint, stream string, file_name string, line_no bigint, body string")
+    out = drift.unified_table(df, "s", typed=True)
+    assert dict(out.dtypes)["n"] == "bigint" and dict(out.dtypes)["x"] == "double" and dict(out.dtypes)["b"] == "boolean" and dict(out.dtypes)["t"] == "string"
+    assert sorted((r.n, r.x, r.b, r.t) for r in out.collect()) == [(1, 1.5, True, "7"), (2, 2.0, False, "seven")]
+    assert sorted((r.raw_id, r.reason) for r in drift.rejected_lines(df).collect()) == [(3, "unreadable"), (4, "no object"), (5, "null")]
+
+
 def test_drift_dirty(spark):
     assert changes(spark) == []
     assert changes(spark, [{"a": 1}, '{"a": 1, "b"', None, "7", "[1]", ""], ['{"a" : 2}', '{"a": NaN}']) == []
