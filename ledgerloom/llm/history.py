@@ -17,6 +17,8 @@ from ledgerloom.session import Scratch, exists, parallelism
 #: Keys of a probe that are sent along as literals, at most, so that Spark opens their buckets only. More keys than
 #: that lie in all buckets anyway and are joined bucket by bucket. Live links that one task settles at once, at most.
 LITERAL_KEYS, LOCAL_LINKS = 256, 200_000
+#: Rows of a batch up to which ids of the batch are broadcast (16 bytes each) to find its rows; more are shuffled.
+SMALL_BATCH = 500_000
 #: Index rows that a bucket should hold, when the number of buckets is chosen from the data.
 PER_BUCKET = 1_000_000
 COLUMNS = "h BIGINT, id BIGINT, sig ARRAY<BIGINT>, a STRING, b STRING, f STRING, batch BIGINT, kind INT"
@@ -70,12 +72,12 @@ class AcceptedIndex:
             found = found.filter(F.col("h").isin([r.k for r in keys.select("k").distinct().collect()]))  # at most LITERAL_KEYS
         else:
             found = found.join(keys.select(F.col("k").alias("h")).distinct().hint("shuffle_hash"), "h", "left_semi")
-        found = found.select(F.col("h").alias("k"), F.xxhash64("id").alias("h"), "id")
+        found = found.select(F.col("h").alias("k"), F.xxhash64("id").alias("h"))  # one to one, for a single number
         if few:
             some = found.select("h").distinct().limit(LITERAL_KEYS + 1).collect()
             if len(some) <= LITERAL_KEYS:
                 records = records.filter(F.col("h").isin([r.h for r in some]))
-        return found.hint("shuffle_hash").join(records, ["h", "id"]).select("k", "id", "a", "b", "f")
+        return found.hint("shuffle_hash").join(records, "h").select("k", "id", "a", "b", "f")
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Write the accepted rows (id, a, b, f) of ``batch`` and their keys, in place of what was written for it before."""
@@ -157,14 +159,14 @@ class BatchDeduplicator:
 
     def decide(self, batch: DataFrame, number: int, n: int, links: DataFrame, live: int) -> None:
         """As ``process``, for ``n`` rows of which none are copies, with their ``live`` links (earlier, later)."""
-        repeated = None
+        repeated, few = None, (F.broadcast if n <= SMALL_BATCH else lambda df: df)
         if not self.index.empty:
             keys = _banded(batch)
             old = self.scratch.save(self.index.probe(keys, 3 * n), "old")
-            suspects = batch.join(keys.join(old.select("k"), "k", "left_semi").select("id"), "id", "left_semi")
+            suspects = batch.join(few(keys.join(old.select("k"), "k", "left_semi").select("id").distinct()), "id", "left_semi")
             repeated = self.scratch.save(C.verified_pairs(suspects, old.dropDuplicates(["id"])).select(F.col("cut_id").alias("id")).distinct(), "repeated")
         cases = self._cases(links, live, repeated)
-        self.index.append(batch if cases is None else batch.join(cases, "id", "left_anti"), number)
+        self.index.append(batch if cases is None else batch.join(few(cases), "id", "left_anti"), number)
         self.scratch.drop("old", "repeated", "live", "dead")
 
     def _cases(self, links: DataFrame, live: int, cases: DataFrame | None) -> DataFrame | None:
