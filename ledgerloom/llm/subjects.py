@@ -243,6 +243,23 @@ def _summed(cut: DataFrame, note: Callable[[Sentences, _Sums], None], columns: t
     return out["k"].to_numpy("int64"), out["v"].to_numpy(float)
 
 
+class Table:
+    """A number per slot; it travels as the slots that aren't zero, so a small corpus has small broadcasts."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __reduce__(self):
+        at = np.flatnonzero(self.values).astype("int32")
+        return Table.of, (at, self.values[at])
+
+    @staticmethod
+    def of(at: np.ndarray, values: np.ndarray) -> Table:
+        table = np.zeros(SLOTS, values.dtype)
+        table[at] = values
+        return Table(table)
+
+
 def _dense(keys: np.ndarray, values: np.ndarray, part: int) -> np.ndarray:
     """The part of keys in [part * SLOTS, (part + 1) * SLOTS) as a table."""
     table, own = np.zeros(SLOTS, "float32"), keys // SLOTS == part
@@ -279,11 +296,22 @@ class Lexicon:
     """Sure words and their log-odds by subject; at most SLOTS rows."""
 
     def __init__(self, n: int, table: dict[int, np.ndarray], often: np.ndarray):
-        words = np.array(sorted(t for t in table if often[t] >= RARE), "int64")
-        self.n, self.often, self.row = n, often, np.full(SLOTS, -1, "int32")
+        words = np.array(sorted(t for t in table if often[t] >= RARE), "int32")
+        self._fill(n, words, np.array([table[t] for t in words.tolist()], "float32").reshape(len(words), n), Table(often))
+
+    def _fill(self, n: int, words: np.ndarray, odds: np.ndarray, often: Table) -> Lexicon:
+        self.n, self.words, self.odds, self.often = n, words, odds, often.values
+        self.row = np.full(SLOTS, -1, "int32")
         self.row[words] = np.arange(len(words))
-        self.odds = np.array([table[t] for t in words.tolist()], "float32").reshape(len(words), n)
-        self.sure = self.odds.argmax(axis=1) if len(words) else np.empty(0, "int64")
+        self.sure = odds.argmax(axis=1) if len(words) else np.empty(0, "int64")
+        return self
+
+    def __reduce__(self):
+        return Lexicon._of, (self.n, self.words, self.odds, Table(self.often))
+
+    @staticmethod
+    def _of(*parts) -> Lexicon:
+        return Lexicon.__new__(Lexicon)._fill(*parts)
 
     def votes(self, x: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sentence, word, row of the table) of the known words among the sentences' matter."""
@@ -345,12 +373,12 @@ def grow(cut: DataFrame, seeds: dict[int, np.ndarray], labelled_share: float, of
         if p.max() >= 0.45:
             table[t] = _log_odds(p)
     context = cut.sparkSession.sparkContext
-    fixed = context.broadcast((matter, repeats))  # SLOTS entries each
+    fixed = context.broadcast((Table(matter), Table(repeats)))  # at most SLOTS entries each
     for _ in range(ROUNDS):
         shared = context.broadcast(Lexicon(n, table, often))  # at most SLOTS rows
 
         def note(x: Sentences, sums: _Sums, shared=shared) -> None:
-            lex, (judged, times) = shared.value, fixed.value
+            lex, judged, times = shared.value, *(t.values for t in fixed.value)
             s, w, at = lex.votes(x)
             total = lex.totals(x, s, at)
             heard = np.zeros(x.n, bool)
@@ -371,6 +399,7 @@ def grow(cut: DataFrame, seeds: dict[int, np.ndarray], labelled_share: float, of
             sums.add(x.word[own].astype("int64") * (n + 1) + target[own], weight[x.of[own]])
 
         keys, values = _summed(cut, note)
+        shared.destroy()
         words, at = np.unique(keys // (n + 1), return_inverse=True)
         counts = np.zeros((len(words), n + 1))
         np.add.at(counts, (at, keys % (n + 1)), values)
@@ -381,6 +410,7 @@ def grow(cut: DataFrame, seeds: dict[int, np.ndarray], labelled_share: float, of
             p = _share(c[:n] / (size / size.mean()) + label, SMOOTH)
             if p.max() >= SURE and c[:n].sum() + label.sum() >= 0.1 * c.sum():
                 table[t] = _log_odds(p)
+    fixed.destroy()
     return Lexicon(n, table, often)
 
 
@@ -485,11 +515,11 @@ def fit_subjects(cut: DataFrame, documents: int, subjects: DataFrame, labels: Da
     context = cut.sparkSession.sparkContext
     keys, values = _summed(cut, _frequencies)
     often, repeats = _dense(keys, values, 0), _dense(keys, values, 1)
-    shared = context.broadcast(often)  # SLOTS entries
+    shared = context.broadcast(Table(often))  # at most SLOTS entries
 
     def matters(x: Sentences, sums: _Sums) -> None:
-        sums.add(_term_sets(x, shared.value)[2])
-        f = shared.value[x.word]
+        sums.add(_term_sets(x, shared.value.values)[2])
+        f = shared.value.values[x.word]
         ok = f >= RARE
         w, s, f = x.word[ok], x.of[ok], f[ok]
         if len(w):
@@ -498,16 +528,18 @@ def fit_subjects(cut: DataFrame, documents: int, subjects: DataFrame, labels: Da
             sums.add(w[near].astype("int64") + SLOTS)
 
     keys, values = _summed(cut, matters)
-    same, matter = context.broadcast(_dense(keys, values, 0)), _dense(keys, values, 1)  # SLOTS entries
+    same, matter = context.broadcast(Table(_dense(keys, values, 0))), _dense(keys, values, 1)  # at most SLOTS entries
 
     def talk(x: Sentences, sums: _Sums) -> None:
         """Words of set sentences."""
-        w, s, slots, least = _term_sets(x, shared.value)
+        w, s, slots, least = _term_sets(x, shared.value.values)
         if len(w):
-            n = same.value[slots]
+            n = same.value.values[slots]
             sums.add(w[((n >= SET_SHARE * least) & (n >= max(5.0, SET_DOCS * documents)))[s]])
 
     common = _dense(*_summed(cut, talk), 0) >= 0.5 * np.maximum(often, 1)  # the talk that all texts share
+    shared.destroy()
+    same.destroy()
     matter = (matter >= 0.5 * often) & (often >= RARE) & ~common
     often = np.where(common, 0, often).astype("float32")
     lexicon = grow(cut, seed_counts(some, [d for _, d in names], n, often), len(some) / max(1, documents), often, repeats, matter, n)
