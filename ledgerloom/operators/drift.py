@@ -148,6 +148,14 @@ def field_sketches(lines: DataFrame) -> DataFrame:
     return lines.select("stream", "file_name", "body").mapInPandas(_sketches, "stream string, file_name string, path string, sketch string")
 
 
+def file_fields(lines: DataFrame) -> DataFrame:
+    """(stream, file_name, field_path, types): each field of each file, with the types of its values joined by ``;`` (null has none)."""
+    types = F.map_keys(F.from_json(F.get_json_object("sketch", "$[0]"), "map<string,bigint>"))
+    path = F.replace(F.replace("path", F.lit(EACH), F.lit("[]")), F.lit(SEP), F.lit(".")).alias("field_path")
+    out = field_sketches(lines).filter("path <> ''").groupBy("stream", "file_name", path).agg(F.array_distinct(F.flatten(F.collect_set(types))).alias("t"))
+    return out.select("stream", "file_name", "field_path", F.array_join(F.array_sort(F.array_remove("t", "null")), ";").alias("types"))
+
+
 # ---- comparing two schemas
 
 

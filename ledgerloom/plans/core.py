@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
-from ledgerloom.operators.drift import rejected_lines, schema_changes, unified_table
+from ledgerloom.operators.drift import file_fields, rejected_lines, schema_changes, unified_table
 from ledgerloom.operators.orphans import orphan_references, orphan_report
 from ledgerloom.operators.profile import base_profile, column_changes, load_profile, quality_issues
 from ledgerloom.plans import evidence, reference  # noqa: F401 (evidence registers its queries with those of reference)
@@ -89,6 +89,11 @@ def p6_push_receipt(spark: SparkSession, d: str) -> DataFrame:
     return unified_table(_streams(spark, d), "push_receipt", typed=True)
 
 
+def p6_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of each file with their types: what changes are told from."""
+    return file_fields(_streams(spark, d))
+
+
 def p6_rejects(spark: SparkSession, d: str) -> DataFrame:
     """The lines that the unified tables don't hold, and why."""
     return rejected_lines(_streams(spark, d))
@@ -172,6 +177,8 @@ def _changes_sql(table: str, columns: list[str]) -> str:
 
 
 _ALL_CANDIDATE, _ALL_READINESS = _CANDIDATE_COLUMNS + _CANDIDATE_TIMES, ["readiness_id", *_READINESS, *_READINESS_TIMES]
+_TYPE = "CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END"
+FIELDS = {"p6_fields": " UNION ALL ".join(f"SELECT '{s}' AS stream, file_name, regexp_replace(substr(fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') AS field_path, coalesce(string_agg(DISTINCT {_TYPE}, ';' ORDER BY {_TYPE}), '') AS types FROM {t}, json_tree(CASE WHEN json_valid(body) THEN body END) WHERE fullkey <> '$' AND NOT ends_with(fullkey, ']') GROUP BY 1, 2, 3" for t, s in (("enrichment_raw", "enrichment"), ("push_receipt_raw", "push_receipt")))}
 REJECTS = {"p6_rejects": " UNION ALL ".join(f"SELECT '{s}' AS stream, raw_id, file_name, line_no, CASE WHEN body IS NULL THEN 'null' WHEN NOT json_valid(body) THEN 'unreadable' ELSE 'no object' END AS reason FROM {t} WHERE body IS NULL OR NOT json_valid(body) OR json_type(CASE WHEN json_valid(body) THEN body END) <> 'OBJECT'" for t, s in (("enrichment_raw", "enrichment"), ("push_receipt_raw", "push_receipt")))}
 ORPHANS = {
     "p5_found": f"SELECT readiness_id, ref_column, reason FROM ({_ORPHAN_SQL})",
@@ -184,5 +191,5 @@ PROFILES = {
     "readiness_profile": _profile_sql("r01_readiness", _READINESS, {"ready": "ready NOT IN ('yes', 'no')"}),
     "candidate_profile": _profile_sql("r01_candidates", _CANDIDATE_COLUMNS, _CANDIDATE_BAD),
 }
-QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, p2_load_profile, p2_changes, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt, p6_rejects)}
-ORACLE = reference.ORACLE | PROFILES | ORPHANS | REJECTS | {"p2_found": _issues_sql()}
+QUERIES = reference.QUERIES | {q.__name__: q for q in (p2_found, p2_profile, p2_load_profile, p2_changes, readiness_profile, candidate_profile, p5_found, p5_report, p6_found, p6_enrichment, p6_push_receipt, p6_fields, p6_rejects)}
+ORACLE = reference.ORACLE | PROFILES | ORPHANS | FIELDS | REJECTS | {"p2_found": _issues_sql()}

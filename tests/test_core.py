@@ -375,10 +375,38 @@ def test_streaming(spark, tmp_path):
     assert spark.table("w").agg(F.sum("n")).head()[0] == 5
 
 
-def test_entry_without_llm():
-    import __spark_entry__ as e
+def test_entry_without_llm(tmp_path):
+    """A copy without the subpackage gives the core's queries; a missing library isn't taken for a missing subpackage."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent.parent
+    shutil.copytree(home / "ledgerloom", tmp_path / "ledgerloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert {'coverage_status', 'p2_found', 'p5_found', 'p6_found'} <= set(q) and not {'p1_found', 'p9_found'} & set(q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    if (home / "ledgerloom" / "llm").exists():
+        broken = "import sys; sys.modules['ledgerloom.session'] = None\ntry:\n    import __spark_entry__\nexcept ImportError:\n    print('told')"
+        assert "told" in subprocess.run([sys.executable, "-c", broken], cwd=home, capture_output=True, text=True).stdout
+
+
+def test_streaming_state_ends(spark, tmp_path):
+    from ledgerloom.streaming import replay
 
-    assert {"coverage_status", "p2_found", "p5_found", "p6_found"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string"
+    batches = [[(1, T(1, 1), 7, "view"), (2, T(1, 1), 8, "error")], [(3, T(2, 1), 9, "view")], [(4, T(3, 1), 9, "view")]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = replay.budgeted_replay_stream(stream, 3, idle_minutes=30).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    progress = q.lastProgress
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("ended").collect())[:2] == [(7, 1, "insufficient_material"), (8, 1, "finish")]
+    assert progress["stateOperators"][0]["numRowsTotal"] <= 1
 
 
 def test_more_text_functions(spark):
