@@ -25,12 +25,12 @@ DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 class Transducer:
-    """Byte-level BPE of single words. ``limit`` bounds the compiled transitions and remembered words held at once."""
+    """Byte-level BPE of single words. ``limit`` bounds the compiled transitions, token pairs and remembered words held at once."""
 
     def __init__(self, vocabulary: bytes, limit: int = 400_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.limit, self.pairs = limit, {}
+        self.limit = limit
         self.child: list[dict[int, int]] = [{}]  # trie of the vocabulary
         self.token: list[int] = [-1]
         for t, i in self.ranks.items():
@@ -50,6 +50,7 @@ class Transducer:
         self.states, self.index = [start], {start: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """By the merges themselves: the pair of least rank first. For pairs of tokens and tests only."""
@@ -100,7 +101,7 @@ class Transducer:
         known = self.words.get(word)
         if known is not None:
             return known
-        if len(self.steps) > self.limit or len(self.words) > self.limit:
+        if len(self.steps) > self.limit or len(self.words) > self.limit or len(self.pairs) > self.limit:
             self.reset()
         state, out, steps = 0, [], self.steps
         for b in word.encode():
