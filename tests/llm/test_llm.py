@@ -253,6 +253,29 @@ def test_groups_empty_and_proportions(spark):
     assert abs(n["train"] - 1600) < 20 and abs(n["validation"] - 200) < 15 and abs(n["test"] - 200) < 15
 
 
+def test_dealt_rows_have_the_shares(spark):
+    """Groups of very unequal sizes, one of a tenth of all rows: rows, not groups, come out in the proportions."""
+    r = random.Random(7)
+    sizes = [4000] + [int(r.paretovariate(1.1)) for _ in range(4000)]
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i}", n) for i, n in enumerate(sizes)], "node string, root string, rows bigint")
+    dealt = nodes.join(grouped_split.deal(nodes), ["node", "root"]).collect()
+    assert len(dealt) == len(sizes)
+    for split, share in grouped_split.PROPORTIONS:
+        assert abs(sum(x.rows for x in dealt if x.dealt == split) / sum(sizes) - share) < 0.01
+
+
+def test_forest_is_kept(spark, tmp_path):
+    rows = [(i, f"own/n{i // 3}", f"r1-pair-{i // 2}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id bigint, project_family string, pair_id string, split string")
+    linked, nodes = grouped_split.linked_groups(df, forest=f"file://{tmp_path}/forest")
+    kept = spark.read.parquet(f"file://{tmp_path}/forest")
+    again = grouped_split.forest_groups(kept, Scratch(spark, "again")).collect()
+    assert kept.distinct().count() == len(again) - len({x.root for x in again})
+    by = {x.node: x.root for x in again}
+    for x in nodes.collect():
+        assert len({by.get(y.node, y.node) for y in nodes.collect() if y.root == x.root}) == 1
+
+
 VOCABULARY = open(tokens.DEFAULT_PATH, "rb").read()
 T = tokens.machine(VOCABULARY)
 
@@ -320,6 +343,18 @@ def test_mix(spark):
     assert by["missing"].draws == 0 and by["none"].target_share is None
 
 
+def test_horizon_takes_nothing_away(spark, monkeypatch):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, r.choice("abc"), r.choice([1, 5, 400])) for i in range(600)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 1.0, 1000), ("b", 3.0, 2), ("c", 0.01, 7)], "source string, target_weight double, max_repeats int")
+    got = [sorted(map(tuple, mixing.draw_mix(docs, targets, b)[0].collect())) for b in (None, 3000, 10_000_000)]
+    assert max(x[2] for x in got[0]) < 20  # far from the thousandth round
+    monkeypatch.setattr(mixing, "_horizon", lambda plan, budget: float("inf"))
+    targets = targets.withColumn("max_repeats", F.least("max_repeats", F.lit(60)))
+    for budget, g in ((got[0] and sum(x[3] for x in got[0]), got[0]), (3000, got[1])):
+        assert sorted(map(tuple, mixing.draw_mix(docs, targets, budget)[0].collect())) == g
+
+
 def test_mix_empty(spark):
     docs, targets = "doc_id bigint, source string, n_tokens bigint", "source string, target_weight double, max_repeats int"
     some = spark.createDataFrame([(1, "a", 5), (2, "a", 5)], docs)
