@@ -17,6 +17,8 @@ from ledgerloom.session import Scratch, exists, parallelism
 #: Keys of a probe that are sent along as literals, at most, so that Spark opens their buckets only. More keys than
 #: that lie in all buckets anyway and are joined bucket by bucket. Live links that one task settles at once, at most.
 LITERAL_KEYS, LOCAL_LINKS = 256, 200_000
+#: Batches after which the driver's garbage, and with it what finished batches left on the executors' disks, is collected.
+COLLECT = 3
 #: Rows of a batch up to which ids of the batch are broadcast (16 bytes each) to find its rows; more are shuffled.
 SMALL_BATCH = 500_000
 #: Index rows that a bucket should hold, when the number of buckets is chosen from the data.
@@ -144,7 +146,7 @@ class BatchDeduplicator:
     """
 
     def __init__(self, spark: SparkSession, index: AcceptedIndex):
-        self.spark, self.index, self.scratch = spark, index, Scratch(spark, "history")
+        self.spark, self.index, self.scratch, self.decided = spark, index, Scratch(spark, "history"), 0
 
     def process(self, batch: DataFrame, number: int) -> None:
         """Accept the rows of a batch of (id, a, b, f) that add something.
@@ -168,6 +170,9 @@ class BatchDeduplicator:
         cases = self._cases(links, live, repeated)
         self.index.append(batch if cases is None else batch.join(few(cases), "id", "left_anti"), number)
         self.scratch.drop("old", "repeated", "live", "dead")
+        self.decided += 1
+        if self.decided % COLLECT == 0:
+            self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files and broadcasts once their handles are collected
 
     def _cases(self, links: DataFrame, live: int, cases: DataFrame | None) -> DataFrame | None:
         without = lambda e, dead: e if dead is None else e.join(dead.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(dead.withColumnRenamed("id", "later"), "later", "left_anti")
