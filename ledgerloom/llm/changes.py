@@ -127,15 +127,17 @@ def _states_the_same() -> Column:
     return K.same_change(*(F.col(f"{side}.{c}") for side in "cw" for c in "abf"))
 
 
-def verified_pairs(cut: DataFrame, windowed: DataFrame, also: str = "true", within: tuple[str, ...] = ()) -> DataFrame:
-    """(cut_id, windowed_id, within) of rows that state the same change, each pair once.
+def verified_pairs(cut: DataFrame, windowed: DataFrame, also: str = "true", within: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(cut_id, windowed_id, within, and of either side keep) of rows that state the same change, each pair once.
 
     Both sides have (id, a, b, f), ids being unique on a side, and the columns ``within``, in which a pair must agree.
-    ``also`` is a further condition on ``cut_id`` and ``windowed_id``. A pair is only made for an equal key; AQE
-    splits hot keys. Keys travel with the id alone; the rows are joined to the few candidates and verified there.
+    ``also`` is a further condition on ``cut_id`` and ``windowed_id``; ``keep`` names columns of the rows that come along
+    as ``cut_`` and ``windowed_``. A pair is only made for an equal key; AQE splits hot keys. Keys travel with the id
+    alone; the rows are joined to the few candidates and verified there.
     """
     c = cut_keys(cut, "id", *within).withColumnRenamed("id", "cut_id")
     w = window_keys(windowed, "id", *within).withColumnRenamed("id", "windowed_id")
     pairs = c.join(w, ["k", *within]).filter(also).select("cut_id", "windowed_id", *within).distinct()
-    pairs = pairs.join(cut.selectExpr("id AS cut_id", "struct(a, b, f) AS c"), "cut_id").join(windowed.selectExpr("id AS windowed_id", "struct(a, b, f) AS w"), "windowed_id")
-    return pairs.filter(_states_the_same()).select("cut_id", "windowed_id", *within)
+    row = ", ".join(("a", "b", "f", *keep))
+    pairs = pairs.join(cut.selectExpr("id AS cut_id", f"struct({row}) AS c"), "cut_id").join(windowed.selectExpr("id AS windowed_id", f"struct({row}) AS w"), "windowed_id")
+    return pairs.filter(_states_the_same()).select("cut_id", "windowed_id", *within, *(F.col(f"{side}.{c}").alias(f"{name}_{c}") for c in keep for side, name in (("c", "cut"), ("w", "windowed"))))

@@ -56,6 +56,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: what a stage is cut into before AQE coalesces it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -101,8 +106,5 @@ class Scratch:
         df.write.mode("append").parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            delete(self.spark, self.path(name))

@@ -112,6 +112,56 @@ def test_history_is_greedy(spark, seed):
     assert {r.id for r in history.batch_duplicates(frame(spark, rows), loads).collect()} == want
 
 
+@pytest.mark.parametrize("rows_together", [0, 70, 10_000])
+def test_history_of_loads_decided_together(spark, monkeypatch, rows_together):
+    """Whichever loads are decided together, rows are taken by load, then id; ids don't follow the loads, many have no known load."""
+    r = random.Random(9)
+    rows = [(*x[:5], f"L{r.randrange(9)}") for x in registry(4)]
+    loads = spark.createDataFrame([(f"L{i}", 20 - i) for i in range(8)], "load_id string, load_seq int")
+    accepted, want = [], set()
+    for x in sorted(rows, key=lambda x: ((20 - int(x[5][1])) if x[5] != "L8" else 99, x[0])):
+        if any(same(x, y) for y in accepted):
+            want.add(x[0])
+        else:
+            accepted.append(x)
+    monkeypatch.setattr(history, "TOGETHER", rows_together)
+    assert {x.id for x in history.batch_duplicates(frame(spark, rows), loads).collect()} == want
+
+
+def test_jobs_of_many_small_loads(spark):
+    """p3_found stood at its limit of driver memory because each load, however small, had jobs and plans of its own."""
+
+    def jobs(n):
+        rows = [(*x[:5], f"L{i % n}") for i, x in enumerate(registry(6, 60))]
+        loads = spark.createDataFrame([(f"L{i}", i) for i in range(n)], "load_id string, load_seq int")
+        spark.sparkContext.setJobGroup(f"loads-{n}", "")
+        try:
+            history.batch_duplicates(frame(spark, rows), loads).count()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"loads-{n}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    few, many = jobs(2), jobs(12)
+    assert 0 < many <= few + 5
+
+
+def test_batches_replace_themselves(spark, tmp_path):
+    """Of batches that are written together again, also the one that has no rows now."""
+    index = history.AcceptedIndex.open(spark, f"file://{tmp_path}/index", buckets=3)
+    rows = lambda *of: spark.createDataFrame([(i, f"own{i}", f"{i}".ljust(40, "b"), f"{i}".ljust(40, "f"), batch) for i, batch in of], "id bigint, a string, b string, f string, batch bigint")
+    ids = lambda: sorted(x.id for x in index.ids().collect())
+    index.append_all(rows((1, 1), (2, 2), (3, 3)), [1, 2, 3])
+    assert ids() == [1, 2, 3]
+    index.append_all(rows((4, 1), (5, 3)), [1, 3])
+    assert ids() == [2, 4, 5]
+    index.append_all(rows((6, 3)), [2, 3])
+    assert ids() == [4, 6]
+    index.close()
+    index = history.AcceptedIndex.open(spark, f"file://{tmp_path}/index")
+    assert ids() == [4, 6] and {x.id for x in index.probe(history._banded(rows((4, 9)))).collect()} == {4}
+    index.close()
+
+
 def test_changes_empty(spark):
     empty = frame(spark, registry(1)).limit(0)
     loads = spark.createDataFrame([], "load_id string, load_seq int")
