@@ -20,7 +20,7 @@ from ledgerloom.session import Scratch, delete, exists, parallelism
 LITERAL_KEYS, LOCAL_LINKS = 256, 200_000
 #: Rows of loads that are decided together, at most; a larger load is decided alone. Each decision is three jobs with large plans,
 #: which the driver holds until its garbage is collected, so small loads that are decided one by one cost it more than their rows.
-TOGETHER = 500_000
+TOGETHER = 2_000_000
 #: Decisions after which the driver's garbage, and with it what finished batches left on the executors' disks, is collected.
 COLLECT = 3
 #: Rows of a batch up to which ids of the batch are broadcast (16 bytes each) to find its rows; more are shuffled.
